@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import shift_values
@@ -53,8 +53,13 @@ def baselines(grid: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.when(F.hour("slot") < 12, F.col("d1")).otherwise(F.col("d2")).alias("d1_real"),
         F.round(F.when(known > 0, total / known), 6).alias("model"),
     )
-    clim = climatology(grid, keys)
-    return with_calendar(wide).join(clim, [*keys, "month", "week", "slot_of_day"]).drop("month", "week", "slot_of_day")
+    # one group holds the same slot of one week only, so this window stays small however hot a series is
+    same = Window.partitionBy(*keys, "month", "week", "slot_of_day")
+    return (
+        with_calendar(wide)
+        .withColumn("climatology", F.round(F.avg("actual").over(same), 6))
+        .drop("month", "week", "slot_of_day")
+    )
 
 
 def with_calendar(df: DataFrame) -> DataFrame:

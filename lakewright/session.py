@@ -27,6 +27,7 @@ def local_session(app: str = "lakewright", cores: str = "*", shuffle: int = 8, m
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
