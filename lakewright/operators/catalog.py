@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.text import fold, folded_literal
 
 # Themes by table-name prefix and sources by first word of the name.
 THEMES = {
@@ -69,15 +69,13 @@ def build(entries: Sequence[DataFrame], themes: Mapping[str, str] = THEMES, sour
 
 def search(entries: DataFrame, words: str, target: Column, theme: Column | None = None, wanted_theme: str = "") -> DataFrame:
     """Entries whose folded target holds every folded word, with equal theme if one is asked for."""
-    spark = entries.sparkSession
-    asked = spark.range(1).select(F.split(fold(F.lit(words)), r"\s+").alias("w"), fold(F.lit(wanted_theme)).alias("t")).first()
     folded = fold(target)
     out = entries
-    hits = [F.contains(folded, F.lit(w)) for w in asked.w if w]
+    hits = [F.contains(folded, F.lit(w)) for w in folded_literal(words).split()]
     if hits:
         out = out.filter(reduce(lambda a, b: a & b, hits))
-    if asked.t:
-        out = out.filter(fold(theme) == asked.t)
+    if wanted_theme:
+        out = out.filter(fold(theme) == folded_literal(wanted_theme))
     return out
 
 
