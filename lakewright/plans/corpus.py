@@ -218,14 +218,10 @@ LEX_SQL = " + ".join(
 )
 
 
-def question_terms(spark):
-    return list(spark.range(1).select(tx.terms(F.lit(QUESTION)).alias("t")).first().t)
-
-
 @query("lexical_score", f"SELECT doc_id, ({LEX_SQL}) / 4.0::DOUBLE AS share FROM documents")
 def lexical_score(spark, folder):
     folded = tx.fold(F.concat_ws(" ", "source", "text"))
-    return table(spark, folder, "documents").select("doc_id", tx.lexical_share(folded, question_terms(spark)).alias("share"))
+    return table(spark, folder, "documents").select("doc_id", tx.lexical_share(folded, tx.literal_terms(QUESTION)).alias("share"))
 
 
 def query_vector(spark, folder):
@@ -272,7 +268,7 @@ def hybrid_topk_cap3(spark, folder):
     """Chunks are vectors of documents; a source stands for the document that may appear three times."""
     wanted = se.facets(docs(spark, folder), agency="SRC1", agency_column="source")
     folded = tx.fold(F.concat_ws(" ", "source", "text"))
-    lexical = tx.lexical_share(folded, question_terms(spark))
+    lexical = tx.lexical_share(folded, tx.literal_terms(QUESTION))
     small = wanted.select("doc_id", "source", "lang", "url", lexical.alias("lexical"))
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id"), "embedding")
     cosines = se.cosine(vectors, "embedding", query_vector(spark, folder))
