@@ -58,7 +58,7 @@ def noise_floor(fact: DataFrame, keys: Sequence[str], generated: str, reference:
 
 
 def cell_of(degrees: Column, step: float = CELL) -> Column:
-    return F.round(degrees / step) * step
+    return F.round(degrees / step) * step + F.lit(0.0)  # -0.0 and 0.0 are the same cell
 
 
 def cells_summary(plants: DataFrame, lat: str, lon: str, state: str, kind: str, wind: str, capacity: str) -> DataFrame:

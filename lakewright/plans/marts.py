@@ -86,7 +86,7 @@ def noise_floor(spark, folder):
 
 
 @query("cells_summary", """
-WITH p AS (SELECT round((c_acctbal / 1000) / 0.25) * 0.25::DOUBLE AS cell_lat, round((c_nationkey * 0.4::DOUBLE) / 0.25) * 0.25::DOUBLE AS cell_lon,
+WITH p AS (SELECT round((c_acctbal / 1000) / 0.25) * 0.25::DOUBLE + 0.0::DOUBLE AS cell_lat, round((c_nationkey * 0.4::DOUBLE) / 0.25) * 0.25::DOUBLE + 0.0::DOUBLE AS cell_lon,
            'N' || c_nationkey AS st, c_mktsegment AS kind, c_custkey % 100 / 10 AS mw FROM customer)
 SELECT cell_lat, cell_lon, min(st) AS state, count(*) FILTER (WHERE kind = 'BUILDING') AS wind, count(*) FILTER (WHERE kind <> 'BUILDING') AS other,
        round(sum(mw), 1) AS capacity FROM p GROUP BY 1, 2
