@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 # What counts as a number after the locale rewrite, and as a date with no time.
 NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:nan|inf|infinity))$"
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}"
-TIME_PATTERNS = ("d/M/yyyy H:m:s", "d/M/yyyy H:m", "d/M/yyyy", "yyyyMMdd", "M/yyyy", "yyyy-M")
-YEAR_MONTH = "yyyyMM"
+TIME_PATTERNS = {
+    "d/M/yyyy H:m:s": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$",
+    "d/M/yyyy H:m": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}$",
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "yyyyMMdd": r"^\d{8}$",
+    "M/yyyy": r"^\d{1,2}/\d{4}$",
+    "yyyy-M": r"^\d{4}-\d{1,2}$",
+    "yyyyMM": r"^\d{6}$",
+}
 SENTINEL_DATES = ("1900-01-01", "1899-12-30")
 
 
@@ -45,12 +52,13 @@ def number_tariff(c: Column) -> Column:
 
 
 def timestamp_multi(c: Column) -> Column:
-    """First format that fits; day first. Bare years and times of day are not dates."""
+    """The format whose shape fits; day first. Bare years and times of day are not dates."""
     t = text_of(c)
-    iso = F.when(t.rlike(ISO_DATE), t.try_cast("timestamp_ntz"))
-    tries = [F.try_to_timestamp(t, F.lit(p)).cast("timestamp_ntz") for p in TIME_PATTERNS]
-    tries.append(F.when(F.length(t) == 6, F.try_to_timestamp(t, F.lit(YEAR_MONTH)).cast("timestamp_ntz")))
-    return F.coalesce(iso, *tries)
+    out = F.when(t.rlike(ISO_DATE), t.try_cast("timestamp_ntz"))
+    # a pattern is only tried on text of its shape: a failed try costs an exception per row
+    for pattern, shape in TIME_PATTERNS.items():
+        out = out.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(pattern)).cast("timestamp_ntz"))
+    return F.when(t.rlike("^[0-9]"), out)
 
 
 def drop_sentinel_dates(c: Column) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, folded_literal
+from ..functions.text import fold, fold_name, folded_literal
 
 # Themes by table-name prefix and sources by first word of the name.
 THEMES = {
@@ -75,7 +75,7 @@ def search(entries: DataFrame, words: str, target: Column, theme: Column | None
     if hits:
         out = out.filter(reduce(lambda a, b: a & b, hits))
     if wanted_theme:
-        out = out.filter(fold(theme) == folded_literal(wanted_theme))
+        out = out.filter(fold_name(theme) == folded_literal(wanted_theme))
     return out
 
 
@@ -96,7 +96,7 @@ def describe(df: DataFrame, descriptions: Mapping[str, str]) -> DataFrame:
 def with_descriptions(columns: DataFrame, dictionary: DataFrame, key: str = "column", code: str = "codigo", text: str = "descricao") -> DataFrame:
     """Descriptions by normalised column name; columns without one get an empty text."""
     def norm(c: str) -> Column:
-        return F.trim(F.regexp_replace(fold(F.col(c)), "[^a-z0-9]+", "_"), F.lit("_"))
+        return F.trim(F.regexp_replace(fold_name(F.col(c)), "[^a-z0-9]+", "_"), F.lit("_"))
 
     texts = dictionary.groupBy(norm(code).alias("k__")).agg(F.min(text).alias("description"))
     return columns.withColumn("k__", norm(key)).join(texts, "k__", "left").drop("k__").fillna("", ["description"])

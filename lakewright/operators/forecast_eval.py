@@ -35,7 +35,8 @@ def regression_aggs() -> list[Column]:
 
 def regression(stacked: DataFrame, digits: int = 6) -> DataFrame:
     out = stacked.groupBy("method").agg(*regression_aggs())
-    return out.select("method", *[F.round(c, digits).alias(c) for c in out.columns if c != "method"])
+    # adding zero turns -0.0 into 0.0
+    return out.select("method", *[(F.round(c, digits) + F.lit(0.0)).alias(c) for c in out.columns if c != "method"])
 
 
 def skill_gain(stacked: DataFrame, model: str = "model", methods: Sequence[str] = tuple(METHODS)) -> DataFrame:

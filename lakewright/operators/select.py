@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.text import fold_name
 from ..session import materialize
 from .ordered import running_before
 
@@ -187,5 +187,5 @@ def dictionary_choice(df: DataFrame, keys: Sequence[str], table_pattern: str, po
 
 def table_name(prefix: str, name: Column, length: int = 40) -> Column:
     """Table name from a resource name: folded, words joined by underscores, cut to a length."""
-    words = F.trim(F.regexp_replace(fold(base_name(name)), r"[^a-z0-9]+", "_"), F.lit("_"))
+    words = F.trim(F.regexp_replace(fold_name(base_name(name)), r"[^a-z0-9]+", "_"), F.lit("_"))
     return F.concat(F.lit(f"{prefix}_"), F.substring(words, 1, length))

@@ -62,7 +62,7 @@ def fc_baselines(spark, folder):
 REGRESSION_SQL = WIDE_SQL + """,
 scores AS (
   SELECT method, round(avg(abs(actual - pred)), 6) AS mae, round(sqrt(avg(pow(actual - pred, 2))), 6) AS rmse,
-         round(avg(pred - actual), 6) AS bias, round(sum(abs(actual - pred)) / nullif(sum(actual), 0) * 100, 6) AS wape_pct,
+         round(avg(pred - actual), 6) + 0.0::DOUBLE AS bias, round(sum(abs(actual - pred)) / nullif(sum(actual), 0) * 100, 6) AS wape_pct,
          round(1 - sum(pow(actual - pred, 2)) / nullif(sum(pow(actual - (SELECT avg(actual) FROM wide WHERE d7 IS NOT NULL), 2)), 0), 6) AS r2,
          round(corr(actual, pred), 6) AS corr,
          round(avg(abs(actual - pred)) FILTER (WHERE actual > 0), 6) AS mae_pos
