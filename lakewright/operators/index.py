@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.text import words
+from ..session import materialize
 
 # Characters of title and chunk that are embedded.
 EMBED_CHARS = 2048
@@ -28,15 +28,12 @@ def hashing_embedder(dim: int = 256) -> Callable[[DataFrame, str, str], DataFram
     ``(df, text column, output column) -> df``, usually with ``mapInPandas`` over batches.
     """
     def run(df: DataFrame, text: str, out: str) -> DataFrame:
-        words = F.filter(F.split(fold(F.col(text)), "[^a-z0-9]+"), lambda w: w != "")
-        tokens = df.withColumn("words__", words)
-        stages = [
-            HashingTF(inputCol="words__", outputCol="tf__", numFeatures=dim),
-            IDF(inputCol="tf__", outputCol="idf__"),
-            Normalizer(inputCol="idf__", outputCol="unit__"),
-        ]
-        model = Pipeline(stages=stages).fit(tokens)
-        return model.transform(tokens).withColumn(out, vector_to_array("unit__", "float32")).select(*df.columns, out)
+        terms = HashingTF(inputCol="words__", outputCol="tf__", numFeatures=dim)
+        # counted once and kept as a table: fitting and transforming both need the counts
+        counted = materialize(terms.transform(df.withColumn("words__", words(F.col(text)))).drop("words__"), "term-counts")
+        weights = IDF(inputCol="tf__", outputCol="idf__").fit(counted)
+        unit = Normalizer(inputCol="idf__", outputCol="unit__").transform(weights.transform(counted))
+        return unit.withColumn(out, vector_to_array("unit__", "float32")).select(*df.columns, out)
 
     return run
 

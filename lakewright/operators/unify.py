@@ -45,24 +45,34 @@ def column_order(parts: Sequence[DataFrame]) -> list[str]:
     return list(dict.fromkeys(c for p in parts for c in p.columns))
 
 
-def _probe_aggs(name: str, c: Column) -> list[Column]:
+def probe_aggs(name: str, c: Column, source: T.DataType, times: bool, numbers: bool) -> list[Column]:
+    """Filled values, and failures of the parsers that can decide this column; the others stay zero."""
     t = c.cast("string")
-    return [
-        F.count_if(t.isNotNull() & (F.trim(t) != "")).alias(f"{name}__filled"),
-        F.count_if(parse.failed(c, parse.timestamp_multi(c))).alias(f"{name}__times"),
-        F.count_if(parse.failed(c, parse.number_generic(c))).alias(f"{name}__numbers"),
-    ]
+    filled = F.count_if(t.isNotNull() & (F.trim(t) != ""))
+    none = F.lit(0).cast("bigint")
+    if isinstance(source, rules.TIMES):
+        bad_times, bad_numbers = none, filled
+    elif isinstance(source, rules.NUMBERS):
+        bad_times, bad_numbers = F.count_if(parse.failed(c, parse.timestamp_multi(c))) if times else none, none
+    else:
+        bad_times = F.count_if(parse.failed(c, parse.timestamp_multi(c))) if times else none
+        bad_numbers = F.count_if(parse.failed(c, parse.number_generic(c))) if numbers else none
+    return [filled.alias(f"{name}__filled"), bad_times.alias(f"{name}__times"), bad_numbers.alias(f"{name}__numbers")]
 
 
 def probe(parts: Sequence[DataFrame], columns: Sequence[str]) -> dict[str, tuple[int, int, int]]:
     """(filled, failing as time, failing as number) per column over the full content, in one job."""
     if not columns:
         return {}
+    temporal = {c for c in columns for p in parts if c in p.columns and isinstance(p.schema[c].dataType, rules.TIMES)}
     frames = []
     for p in parts:
         have = [c for c in columns if c in p.columns]
         if have:
-            frames.append(p.agg(*[a for c in have for a in _probe_aggs(c, F.col(c))]))
+            frames.append(p.agg(*[
+                a for c in have
+                for a in probe_aggs(c, F.col(c), p.schema[c].dataType, c in temporal or rules.looks_like_date(c), not rules.is_code(c))
+            ]))
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     row = merged.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in merged.columns]).first()
     return {c: (row[f"{c}__filled"], row[f"{c}__times"], row[f"{c}__numbers"]) for c in columns}

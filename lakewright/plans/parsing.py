@@ -207,7 +207,7 @@ def probe_columns(spark, folder):
         F.date_format("o_orderdate", "dd/MM/yyyy").alias("dat_order"), F.col("o_orderstatus").alias("status"),
     )
     names = wide.columns
-    counts = wide.agg(*[a for n in names for a in un._probe_aggs(n, F.col(n))])
+    counts = wide.agg(*[a for n in names for a in un.probe_aggs(n, F.col(n), wide.schema[n].dataType, times=True, numbers=True)])
     rows = [
         F.struct(F.lit(n).alias("name"), F.col(f"{n}__filled").alias("filled"),
                  F.col(f"{n}__times").alias("bad_times"), F.col(f"{n}__numbers").alias("bad_numbers"))
