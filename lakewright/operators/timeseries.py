@@ -24,7 +24,9 @@ def fill_grid(totals: DataFrame, minutes: int = 30, keys: Sequence[str] = ()) ->
     The empty slots are generated from each series' own first and last slot, so there is no cross join,
     and a union with one aggregation replaces the usual left join.
     """
-    span = totals.groupBy(*keys).agg(F.min("slot").alias("a__"), F.max("slot").alias("z__"))
+    # looking at the total as well keeps both branches on the same aggregate, so events are scanned once
+    filled = F.when(F.col("actual").isNotNull(), F.col("slot"))
+    span = totals.groupBy(*keys).agg(F.min(filled).alias("a__"), F.max(filled).alias("z__"))
     grid = span.select(
         *keys,
         F.explode(F.expr(f"sequence(a__, z__, interval {minutes} minutes)")).alias("slot"),
