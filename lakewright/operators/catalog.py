@@ -44,7 +44,12 @@ def first_filled(*choices: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in choices], F.lit(""))
 
 
-COLUMN_ENTRY = "struct<name:string,type:string,description:string>"
+def looked_up(name: Column, values: Mapping[str, str]) -> Column:
+    """Configured text for a name, empty when there is none."""
+    out = F.lit("")
+    for key, text in values.items():
+        out = F.when(name == key, text).otherwise(out)
+    return out
 
 
 def entry(df: DataFrame, name: str, time_column: str | None = None, descriptions: Mapping[str, str] | None = None) -> DataFrame:
@@ -60,8 +65,17 @@ def entry(df: DataFrame, name: str, time_column: str | None = None, descriptions
     ).select(F.lit(name).alias("name"), F.lit(time_column).cast("string").alias("time_column"), "row_count", "first", "last", columns.alias("columns"))
 
 
-def build(entries: Sequence[DataFrame], themes: Mapping[str, str] = THEMES, sources: Mapping[str, str] = SOURCES) -> DataFrame:
+def build(
+    entries: Sequence[DataFrame],
+    themes: Mapping[str, str] = THEMES,
+    sources: Mapping[str, str] = SOURCES,
+    manual: Mapping[str, str] | None = None,
+    generated: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """All entries with theme, source and description; hand-written texts go before generated ones."""
     all_entries = reduce(lambda a, b: a.unionByName(b), entries)
+    text = first_filled(looked_up(F.col("name"), manual or {}), looked_up(F.col("name"), generated or {}))
+    all_entries = all_entries.withColumn("description", text)
     return all_entries.withColumn("theme", longest_prefix(F.col("name"), themes, OTHER_THEME)).withColumn(
         "source", source_of(F.col("name"), sources)
     )
@@ -119,34 +133,26 @@ def totals_by(df: DataFrame, key: Column, size: str, label: str = "source") -> D
 
 def limited(df: DataFrame, n: int) -> DataFrame:
     """At most ``n`` rows, each flagged if more rows were there. One row more than asked for is read."""
-    probe = df.limit(n + 1)
+    probe = df.limit(n + 1)  # an ORDER BY below becomes a top-k
     more = probe.agg(F.count("*") > n)
     return probe.limit(n).withColumn("truncated", more.scalar())
 
 
-READS_ONLY = ("Project", "Filter", "Aggregate", "Join", "Sort", "GlobalLimit", "LocalLimit", "Distinct", "Union", "SubqueryAlias",
-              "UnresolvedRelation", "UnresolvedWith", "UnresolvedHaving", "OneRowRelation", "UnresolvedInlineTable", "LocalRelation",
-              "WithWindowDefinition", "Generate", "Except", "Intersect", "Offset", "Window", "Pivot", "Unpivot", "CTERelationRef",
-              "UnresolvedSubqueryColumnAliases", "LateralJoin", "AsOfJoin", "Tail", "Sample", "Range", "WithCTE", "CTERelationDef")
+MAX_ROWS = 200
 
 
 def read_only(spark: SparkSession, sql: str) -> DataFrame:
-    """One SELECT or WITH as a frame. Spark's own parser decides, so literals such as 'set' do no harm."""
+    """One SELECT or WITH as a lazy frame.
+
+    The statement is parsed as a subquery, where commands, inserts and a second statement are syntax
+    errors; literals such as 'set' do no harm.
+    """
     statement = sql.strip().rstrip(";").strip()
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
-    _only_reads(plan)
-    return spark.sql(statement)
-
-
-def _only_reads(plan) -> None:
-    kind = plan.nodeName().split(" ")[0].strip("'")
-    if kind not in READS_ONLY:
-        raise ValueError(f"only SELECT or WITH is allowed, found {kind}")
-    children = plan.children()
-    for i in range(children.size()):
-        _only_reads(children.apply(i))
-    inner = plan.innerChildren()
-    for i in range(inner.size()):
-        node = inner.apply(i)
-        if hasattr(node, "nodeName"):
-            _only_reads(node)
+    return spark.sql(f"SELECT * FROM (\n{statement}\n) AS q")
+
+
+def answer(spark: SparkSession, sql: str, rows: int = MAX_ROWS) -> tuple[list[str], list[tuple], bool]:
+    """Column names, at most ``rows`` rows, and whether there were more."""
+    df = read_only(spark, sql)
+    found = [tuple(r) for r in df.limit(rows + 1).collect()]
+    return df.columns, found[:rows], len(found) > rows

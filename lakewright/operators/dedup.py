@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Order in which folders are preferred as the home of a duplicated file.
 PREFERRED = ("data/", "dados/ons/", "dados/rio_ev/", "dados/data/")
 
@@ -16,14 +18,22 @@ def repeated_sizes(df: DataFrame, size: str) -> DataFrame:
     return df.groupBy(size).count().filter("count > 1").select(size)
 
 
+BROADCAST_SIZES = 1_000_000
+
+
 def hash_repeated(df: DataFrame, size: str, content: Column, out: str = "sha256") -> DataFrame:
     """Adds the SHA-256 of the content where the size repeats, else null.
 
-    There is at most one row per distinct size on the other side, so AQE can broadcast it; where it
-    cannot, the skew join splits popular sizes.
+    The repeated sizes are written once and counted. Up to a million of them (some 16 MB) are broadcast,
+    so that contents neither move nor are hashed in vain. Beyond that, hashes are taken first and only
+    narrow rows are joined by size.
     """
-    sizes = repeated_sizes(df, size).withColumn("again__", F.lit(True))
-    return df.join(sizes, size, "left").withColumn(out, F.when(F.col("again__"), F.sha2(content, 256))).drop("again__")
+    sizes = materialize(repeated_sizes(df, size), "sizes").withColumn("again__", F.lit(True))
+    if sizes.limit(BROADCAST_SIZES + 1).count() <= BROADCAST_SIZES:
+        marked = df.join(F.broadcast(sizes), size, "left")
+        return marked.withColumn(out, F.when(F.col("again__"), F.sha2(content, 256))).drop("again__")
+    hashed = df.withColumn(out, F.sha2(content, 256)).join(sizes, size, "left")
+    return hashed.withColumn(out, F.when(F.col("again__"), F.col(out))).drop("again__")
 
 
 def preference(path: Column, prefixes: Sequence[str] = PREFERRED) -> Column:

@@ -197,3 +197,17 @@ def truth_check(forecast: DataFrame, key: DataFrame, on: str, left: str, right:
     return both.agg(F.count("*").alias("slots"), F.round(F.max(F.abs(F.col(left) - F.col(right))), 6).alias("max_abs_diff"))
 
 
+
+
+def markdown(scores: DataFrame, digits: int = 1) -> str:
+    """A scorecard as a Markdown table with comma decimals. Scorecards have one row per method."""
+    def shown(v) -> str:
+        if v is None:
+            return "—"
+        if isinstance(v, float):
+            return f"{v:,.{digits}f}".translate(str.maketrans(",.", ".,"))
+        return str(v)
+
+    head = "| " + " | ".join(scores.columns) + " |"
+    rule = "|" + "---|" * len(scores.columns)
+    return "\n".join([head, rule, *("| " + " | ".join(shown(v) for v in r) + " |" for r in scores.toLocalIterator())])

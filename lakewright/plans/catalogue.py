@@ -12,6 +12,8 @@ from .registry import query
 
 TIME = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
 THEMES = {"o": "sales", "orders": "orders", "line": "sales", "part": "master", "customer": "master", "supplier": "master", "doc": "text"}
+MANUAL = {"orders": "Orders of customers", "events": " "}
+GENERATED = {"orders": "generated", "events": "User events", "pages": "Web pages"}
 SOURCES = {"events": "Stream", "documents": "Corpus", "pages": "Corpus"}
 
 
@@ -28,6 +30,7 @@ rules(prefix, theme) AS (VALUES ('o', 'sales'), ('orders', 'orders'), ('line', '
 m AS (SELECT e.name, theme, row_number() OVER (PARTITION BY e.name ORDER BY length(prefix) DESC) AS k FROM e JOIN rules ON starts_with(e.name, prefix))
 SELECT e.name, time_column, row_count, first, last, coalesce(m.theme, 'outros') AS theme,
        CASE e.name WHEN 'events' THEN 'Stream' WHEN 'documents' THEN 'Corpus' WHEN 'pages' THEN 'Corpus' ELSE upper(e.name) END AS source,
+       CASE e.name WHEN 'orders' THEN 'Orders of customers' WHEN 'events' THEN 'User events' WHEN 'pages' THEN 'Web pages' ELSE '' END AS description,
        (SELECT count(*) FROM duckdb_columns() c WHERE c.table_name = e.name)::BIGINT AS n_columns
 FROM e LEFT JOIN m ON m.name = e.name AND k = 1
 """
@@ -37,7 +40,7 @@ FROM e LEFT JOIN m ON m.name = e.name AND k = 1
 @query("catalog_tables", CATALOG_SQL)
 def catalog_tables(spark, folder):
     entries = [cat.entry(table(spark, folder, n), n, TIME.get(n)) for n in TABLES]
-    out = cat.build(entries, THEMES, SOURCES)
+    out = cat.build(entries, THEMES, SOURCES, MANUAL, GENERATED)
     return out.withColumn("n_columns", F.size("columns").cast("bigint")).drop("columns")
 
 

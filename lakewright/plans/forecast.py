@@ -221,6 +221,6 @@ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 """)
 def fc_lag_by_user(spark, folder):
     events = table(spark, folder, "events").select("event_id", "user_id", "ts", "value")
-    placed = positions(events, ["user_id"], [F.col("ts"), F.col("event_id")], F.to_date("ts"))
+    placed = positions(events, ["user_id"], [F.col("ts"), F.col("event_id")], F.date_trunc("minute", "ts"))
     lags = {f"lag{n}": (n, F.col("pos") + n) for n in (1, 3)}
     return shift_values(placed, ["user_id"], "pos", "value", lags, carry=["event_id"]).drop("pos")

@@ -142,7 +142,7 @@ def validity_join(spark, folder):
     facts = lines.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "t").agg(
         F.count("*").alias("n"), F.sum("q").alias("q")
     )
-    return mt.validity_join(facts, relation, "o_custkey", "t", "a", "z").groupBy("grp").agg(
+    return mt.validity_join(facts, relation, "o_custkey", "t", "a", "z", last=lines.agg(F.max("t"))).groupBy("grp").agg(
         F.sum("n").alias("n"), F.round(F.sum("q"), 2).alias("quantity")
     )
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.schema import signature
+
 
 def read_typed_csv(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
     """Header and types taken from the whole file."""
@@ -28,9 +30,12 @@ def sniff_delimiter(header: str) -> str:
     return ";" if header.count(";") >= header.count(",") else ","
 
 
-def read_text_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """All columns as text. Short rows are padded with nulls; rows with too many fields are skipped."""
-    header = header_of(spark, path, encoding)
+def read_text_csv(spark: SparkSession, path: str | list[str], sep: str | None = None, encoding: str = "UTF-8") -> DataFrame:
+    """All columns as text. Short rows are padded with nulls; rows with too many fields are skipped.
+
+    Several files with the same header are one scan.
+    """
+    header = header_of(spark, path if isinstance(path, str) else path[0], encoding)
     sep = sep or sniff_delimiter(header)
     names = next(csv.reader([header], delimiter=sep))
     names = [n.strip() or f"coluna_{i}" for i, n in enumerate(names)]
@@ -58,14 +63,19 @@ def read_csv_files(spark: SparkSession, path: str) -> list[DataFrame]:
         header = header_of(spark, row.path, row.encoding)
         groups.setdefault((row.encoding, header), []).append(row.path)
     out = []
-    for (encoding, header), paths in sorted(groups.items()):
-        part = read_text_csv(spark, paths[0], encoding=encoding)
-        for p in paths[1:]:
-            part = part.unionByName(read_text_csv(spark, p, encoding=encoding))
-        out.append(part)
+    for (encoding, _), paths in sorted(groups.items()):
+        out.append(read_text_csv(spark, sorted(paths), encoding=encoding))
     return out
 
 
+def read_parquet_variants(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
+    """Parquet files grouped by schema, one scan per variant: the plan grows with drift, not with files."""
+    groups: dict[tuple, list[str]] = {}
+    for p in paths:
+        groups.setdefault(signature(spark.read.parquet(p)), []).append(p)
+    return [spark.read.parquet(*same) for same in groups.values()]
+
+
 def _members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for path, content in zip(frame["path"], frame["content"]):

@@ -61,3 +61,13 @@ def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
 def write_inventory(df: DataFrame, path: str) -> None:
     """Inventory as CSV, sorted by path across files."""
     df.orderBy("path").write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_catalog(entries: DataFrame, path: str) -> None:
+    """Catalogue as JSON lines, one object per table with its columns as an array."""
+    entries.write.mode("overwrite").json(path)
+
+
+def write_documents(docs: DataFrame, path: str) -> None:
+    """Documents under their content id; a repeated id is the same content, so appending is safe to repeat."""
+    docs.dropDuplicates(["doc_id"]).write.mode("append").option("compression", "zstd").parquet(path)

@@ -79,3 +79,14 @@ def test_longest_prefix(spark):
     df = spark.createDataFrame([("analytics_corte_usina",), ("analytics_consumo_rj",), ("ons_cmo_x",)], "n string")
     got = [tuple(r) for r in df.select(cat.longest_prefix(F.col("n"), cat.THEMES, cat.OTHER_THEME), cat.source_of(F.col("n"))).collect()]
     assert got == [("restricao", "Equipe (análises)"), ("outros", "Equipe (análises)"), ("precos", "ONS")]
+
+
+def test_hashes_only_where_sizes_repeat(spark, monkeypatch):
+    from lakewright.operators import dedup
+
+    df = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y"), ("c", 2, "zz")], "k string, n int, t string")
+    want = {"a", "b"}
+    for bound in (1_000_000, 0):
+        monkeypatch.setattr(dedup, "BROADCAST_SIZES", bound)
+        out = dedup.hash_repeated(df, "n", F.col("t"))
+        assert {r.k for r in out.collect() if r.sha256} == want and out.count() == 3

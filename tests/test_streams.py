@@ -52,7 +52,10 @@ def test_read_only_sql(spark):
     out = cat.limited(cat.read_only(spark, "with q as (select id, 'set drop;' as s from t_numbers) select * from q where id in (select id from t_numbers);"), 200)
     assert out.count() == 200 and out.first().truncated
     assert not cat.limited(cat.read_only(spark, "select count(*) from t_numbers"), 200).first().truncated
+    columns, rows, more = cat.answer(spark, "select id from t_numbers order by id desc", rows=3)
+    assert (columns, rows, more) == (["id"], [(299,), (298,), (297,)], True)
+    assert cat.answer(spark, "select 'set' as w")[1:] == ([("set",)], False)
     for bad in ("drop table t_numbers", "select 1; select 2", "create view x as select 1", "insert into t_numbers select 1", "set a=b", "show tables", "describe t_numbers",
-                "cache table t_numbers", "explain select 1"):
+                "cache table t_numbers", "explain select 1", "select 1) as q; drop table t_numbers --"):
         with pytest.raises(Exception):
             cat.read_only(spark, bad)

@@ -101,3 +101,29 @@ def test_declared_and_helpers(spark):
     assert packed.columns == ["ano"]
     untouched = un.packed_or_year(spark.createDataFrame([(5,), (2001,)], "data int"), "data")
     assert untouched.columns == ["data"]
+
+
+def test_parquet_variants_and_catalogue(spark, tmp_path):
+    from lakewright.operators import catalog as cat
+    from lakewright.sources.files import read_parquet_variants
+
+    for i, df in enumerate([spark.range(3), spark.range(4), spark.range(2).withColumn("x", F.lit("a"))]):
+        df.write.parquet(str(tmp_path / f"f{i}"))
+    variants = read_parquet_variants(spark, [str(tmp_path / f"f{i}") for i in range(3)])
+    assert [v.count() for v in variants] == [7, 2]
+    entries = cat.build([cat.entry(v, f"ons_cmo_{i}") for i, v in enumerate(variants)], manual={"ons_cmo_0": "m"}, generated={"ons_cmo_0": "g", "ons_cmo_1": "h"})
+    sinks.write_catalog(entries, str(tmp_path / "catalog"))
+    back = spark.read.json(str(tmp_path / "catalog"))
+    assert sorted((r["name"], r.theme, r.row_count, r.description, len(r.columns)) for r in back.collect()) == [
+        ("ons_cmo_0", "precos", 7, "m", 1), ("ons_cmo_1", "precos", 2, "h", 2),
+    ]
+
+
+def test_documents_and_report(spark, tmp_path):
+    from lakewright.operators import forecast_eval as fe
+
+    docs = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "doc_id string, text string")
+    sinks.write_documents(docs, str(tmp_path / "docs"))
+    assert spark.read.parquet(str(tmp_path / "docs")).count() == 2
+    table = fe.markdown(spark.createDataFrame([("model", 1234.56, None)], "method string, mae double, r2 double"))
+    assert table == "| method | mae | r2 |\n|---|---|---|\n| model | 1.234,6 | — |"
