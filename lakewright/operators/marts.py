@@ -69,21 +69,21 @@ def cells_summary(plants: DataFrame, lat: str, lon: str, state: str, kind: str,
     ).orderBy(F.col("capacity").desc(), lat, lon)
 
 
-def validity_join(facts: DataFrame, relation: DataFrame, key: str, ts: str, start: str, end: str, unit: str = "month", last: DataFrame | None = None) -> DataFrame:
+def validity_join(facts: DataFrame, relation: DataFrame, key: str, ts: str, start: str, end: str, last: DataFrame | None = None) -> DataFrame:
     """Facts with the relations that were valid at their time; a null end is still valid.
 
-    Both sides meet on (key, calendar unit), so a key with very many facts is spread over its months, and
+    Both sides meet on (key, month), so a key with very many facts is spread over its months, and
     a fact is only compared with relations that touch its month. Open relations reach to the last fact;
     ``last`` may give that time from a cheaper place than the facts themselves.
     """
     last = facts.agg(F.max(ts)) if last is None else last
     until = F.coalesce(F.col(end), F.greatest(last.scalar().cast("timestamp_ntz"), F.col(start)))
-    months = F.expr(f"sequence(date_trunc('{unit}', {start}), date_trunc('{unit}', u__), interval 1 {unit})")
+    months = F.sequence(F.trunc(start, "month"), F.trunc("u__", "month"), F.expr("interval 1 month"))
     spread = (
         relation.withColumn("u__", until).filter(F.col("u__") >= F.col(start))
-        .withColumn("m__", F.explode(F.transform(months, lambda m: m.cast("date")))).drop("u__")
+        .withColumn("m__", F.explode(months)).drop("u__")
     )
-    keyed = facts.withColumn("m__", F.to_date(F.date_trunc(unit, F.col(ts))))
+    keyed = facts.withColumn("m__", F.trunc(ts, "month"))
     valid = (F.col(ts) >= F.col(start)) & (F.col(end).isNull() | (F.col(ts) < F.col(end)))
     return keyed.join(spread, [key, "m__"]).filter(valid).drop("m__")
 

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def _prefix(totals: DataFrame, keys: Sequence[str], bucket: str, total: str, out: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -84,12 +86,15 @@ def order_statistics(
     ranks: dict[str, Column],
     buckets: int = 4096,
 ) -> DataFrame:
-    """Exact values at given 0-based ranks of each key's sorted, non-null ``value``.
+    """Exact values at given 0-based ranks of each key's sorted, non-null ``value``, and ``n``.
 
-    ``ranks`` holds expressions over ``n`` (rows of the key). Equal values are counted before they move,
-    a histogram finds the buckets that hold the wanted ranks, and only those buckets are sorted.
+    ``ranks`` holds expressions over ``n`` (rows of the key). Equal values are counted before they move;
+    these counts are written once, so the input is scanned once. A histogram finds the buckets that hold
+    the wanted ranks, and only those buckets are sorted.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v__")).agg(F.count("*").alias("c__"))
+    counted = materialize(
+        df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v__")).agg(F.count("*").alias("c__")), "value-counts"
+    )
     spans = counted.groupBy(*keys).agg(F.min("v__").alias("lo__"), F.max("v__").alias("hi__"), F.sum("c__").alias("n"))
     wanted = spans.select(
         *keys, "lo__", "hi__", "n",
@@ -104,14 +109,14 @@ def order_statistics(
     targets = offsets.withColumn("want__", hit).filter(F.size("want__") > 0).select(*keys, "b__", "p__", "want__")
     inside = Window.partitionBy(*keys, "b__").orderBy("v__").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = (
-        placed.drop("want__", "lo__", "hi__", "n")
+        placed.drop("want__", "lo__", "hi__")
         .join(targets, [*keys, "b__"])
         .withColumn("upto__", F.col("p__") + F.sum("c__").over(inside))
         .withColumn("s__", F.explode("want__"))
         .filter((F.col("s__.rank") < F.col("upto__")) & (F.col("s__.rank") >= F.col("upto__") - F.col("c__")))
     )
     return found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("s__.name") == name, F.col("v__"))).alias(name) for name in ranks]
+        F.max("n").alias("n"), *[F.max(F.when(F.col("s__.name") == name, F.col("v__"))).alias(name) for name in ranks]
     )
 
 
@@ -128,11 +133,9 @@ def percentile_interpolated(df: DataFrame, keys: Sequence[str], value: str, poin
     for name, p in points.items():
         at = (F.col("n") - 1) * F.lit(p)
         ranks[f"{name}__lo"], ranks[f"{name}__hi"] = F.floor(at), F.ceil(at)
-    found = order_statistics(df, keys, value, ranks)
-    sizes = df.groupBy(*keys).agg(F.count(value).alias("n__"))
-    joined = found.join(sizes, list(keys)) if keys else _with_one_row(found, sizes)
+    joined = order_statistics(df, keys, value, ranks)
     for name, p in points.items():
-        at = (F.col("n__") - 1) * F.lit(p)
+        at = (F.col("n") - 1) * F.lit(p)
         joined = joined.withColumn(
             name,
             F.col(f"{name}__lo") + (F.col(f"{name}__hi") - F.col(f"{name}__lo")) * (at - F.floor(at)),

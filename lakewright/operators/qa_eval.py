@@ -49,7 +49,7 @@ def latency(df: DataFrame, keys: Sequence[str], value: str, digits: int = 2) ->
         "p50": F.floor(F.col("n") / 2),
         "p90": F.greatest(F.floor(F.col("n") * F.lit(0.9)) - 1, F.lit(0)),
     }
-    marks = order_statistics(df, keys, value, ranks)
+    marks = order_statistics(df, keys, value, ranks).drop("n")
     means = df.groupBy(*keys).agg(F.round(F.avg(value), digits).alias("mean"), F.max(value).alias("max"))
     return means.join(marks, list(keys))
 
