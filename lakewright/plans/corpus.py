@@ -134,11 +134,17 @@ def page_text(spark, folder):
     return parsed.select("page_id", "title", hx.clean_text(F.col("text")).alias("text"))
 
 
-@query("frontier_bounded")
+@query("frontier_bounded", """
+WITH RECURSIVE l AS (SELECT regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1) AS l FROM pages),
+edges AS (SELECT DISTINCT l[1] AS src, unnest(l[2:]) AS dst FROM l WHERE len(l) > 1),
+seeds AS (SELECT src AS url FROM edges GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3),
+b AS (SELECT url, 0 AS depth FROM seeds UNION SELECT dst, depth + 1 FROM b JOIN edges ON src = url WHERE depth < 30)
+SELECT url, min(depth) AS depth FROM b GROUP BY 1 ORDER BY depth, url LIMIT 60
+""")
 def frontier_bounded(spark, folder):
     """Bounded crawl over the link words of ``pages``: the first link of a page leads to its others."""
     links = table(spark, folder, "pages").select(hx.hrefs(F.col("html")).alias("l")).filter(F.size("l") > 1)
-    edges = materialize(links.select(F.col("l")[0].alias("src"), F.explode(F.slice("l", 2, 1000)).alias("dst")).distinct(), "edges")
+    edges = materialize(links.select(F.col("l")[0].alias("src"), F.explode(F.slice("l", F.lit(2), F.size("l"))).alias("dst")).distinct(), "edges")
     seeds = edges.groupBy("src").count().orderBy(F.col("count").desc(), "src").limit(3).select(F.col("src").alias("url"))
     return co.bounded_crawl(edges, seeds, max_pages=60)
 
