@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # What counts as a number after the locale rewrite, and as a date with no time.
 NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:nan|inf|infinity))$"
-ISO_DATE = r"^\d{4}-\d{2}-\d{2}"
+ISO_DATE = r"^\d{4}([-/ \\])\d{1,2}\1\d{1,2}([T ]\d{1,2}:.*)?$"
 TIME_PATTERNS = {
     "d/M/yyyy H:m:s": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$",
     "d/M/yyyy H:m": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}$",
@@ -51,10 +51,16 @@ def number_tariff(c: Column) -> Column:
     return _guarded_double(F.trim(t))
 
 
+def timestamp_iso(t: Column) -> Column:
+    """Year first, with ``-``, ``/``, blank or backslash between; an hour without minutes is no time."""
+    dashed = F.regexp_replace(t, r"^(\d{4})[/ \\](\d{1,2})[/ \\](\d{1,2})", "$1-$2-$3")
+    return F.when(t.rlike(ISO_DATE), dashed.try_cast("timestamp_ntz"))
+
+
 def timestamp_multi(c: Column) -> Column:
     """The format whose shape fits; day first. Bare years and times of day are not dates."""
     t = text_of(c)
-    out = F.when(t.rlike(ISO_DATE), t.try_cast("timestamp_ntz"))
+    out = F.when(t.rlike(ISO_DATE), timestamp_iso(t))
     # a pattern is only tried on text of its shape: a failed try costs an exception per row
     for pattern, shape in TIME_PATTERNS.items():
         out = out.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(pattern)).cast("timestamp_ntz"))

@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import fold, words
 from ..session import materialize
 
 # Characters of title and chunk that are embedded.
@@ -21,6 +21,11 @@ def embed_input(title: Column, text: Column) -> Column:
     return F.substring(F.concat_ws("\n", title, text), 1, EMBED_CHARS)
 
 
+def searchable(chunks: DataFrame, title: str = "title", text: str = "text", out: str = "norm") -> DataFrame:
+    """Adds the folded title and text, so that searches compare words without folding again."""
+    return chunks.withColumn(out, fold(F.concat_ws(" ", title, text)))
+
+
 def hashing_embedder(dim: int = 256) -> Callable[[DataFrame, str, str], DataFrame]:
     """Default embedder: hashed term counts weighted by inverse document frequency, at unit length.
 

@@ -177,7 +177,7 @@ def by_convention(parts: Sequence[DataFrame]) -> DataFrame:
             elif isinstance(target, T.DoubleType) and isinstance(f.dataType, T.StringType):
                 value = parse.number_convention(c)
             elif isinstance(target, T.TimestampNTZType) and isinstance(f.dataType, T.StringType):
-                value = F.when(F.trim(c).rlike(parse.ISO_DATE), F.trim(c).try_cast("timestamp_ntz"))
+                value = parse.timestamp_iso(F.trim(c))
             else:
                 value = c.try_cast(target)
             cols.append(value.alias(n))
@@ -194,8 +194,7 @@ def declared(df: DataFrame, numeric: Sequence[str], dates: Sequence[str]) -> Dat
         if name in numeric:
             c = parse.number_tariff(c)
         elif name in dates:
-            t = F.trim(c)
-            c = F.when(t.rlike(parse.ISO_DATE), t.try_cast("date"))
+            c = parse.timestamp_iso(F.trim(c)).cast("date")
         else:
             c = parse.blank_to_null(c)
         cols.append(c.alias(name.lower()))

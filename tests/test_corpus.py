@@ -150,3 +150,17 @@ def test_small_talk_guard(spark):
     df = spark.createDataFrame(rows, "r string, l string, m string")
     got = [x[0] for x in df.select(qa.profile(F.col("r"), F.col("l"), F.col("m"))).collect()]
     assert got == ["rapido", "dados", "dados", "dados", "raciocinio", "documentos", "dados", "raciocinio"]
+
+
+def test_hybrid_score_over_a_stored_index(spark, tmp_path):
+    from lakewright.functions.text import lexical_share, literal_terms
+
+    rows = [("a", "Lei 14.300", "Sistema de Compensação", [1.0, 0.0]), ("b", "Notícia", "vento forte", [1.0, 0.0]), ("c", "x", "y", [0.0, 1.0])]
+    chunks = spark.createDataFrame(rows, "source string, title string, text string, vector array<float>")
+    ix.write_index(ix.searchable(chunks), str(tmp_path / "ix"))
+    terms = literal_terms("O que a lei 14.300 diz sobre compensação?")
+    stored = spark.read.parquet(str(tmp_path / "ix"))
+    scored = se.cosine(stored, "vector", [2.0, 0.0]).withColumn("score", se.hybrid_score(F.col("cosine"), F.col("norm"), terms))
+    got = {r.source: round(r.score, 6) for r in scored.collect()}
+    assert got == {"a": 1.15, "b": 1.0, "c": 0.0}
+    assert stored.select(lexical_share(F.col("norm"), [])).first()[0] == 0.0

@@ -26,6 +26,9 @@ TIMES = [
     ("2024-10-01 10:30:00", "2024-10-01 10:30:00"), ("01/10/2024", "2024-10-01 00:00:00"), ("1/10/2024", "2024-10-01 00:00:00"),
     ("01/10/2024 08:15", "2024-10-01 08:15:00"), ("01/10/2024 08:15:09", "2024-10-01 08:15:09"), ("20241001", "2024-10-01 00:00:00"),
     ("10/2024", "2024-10-01 00:00:00"), ("2024-10", "2024-10-01 00:00:00"), ("202410", "2024-10-01 00:00:00"), ("2024-10-01", "2024-10-01 00:00:00"),
+    ("2024-1-5", "2024-01-05 00:00:00"), ("2024/10/01", "2024-10-01 00:00:00"), ("2024/1/5 8:05", "2024-01-05 08:05:00"),
+    ("2024 10 01", "2024-10-01 00:00:00"), ("2024-10-01T10:30:00", "2024-10-01 10:30:00"), ("2024-10-01T10:30:00Z", "2024-10-01 10:30:00"),
+    ("2024-10-01 10", None), ("2024-10-01x", None), ("2024-13-01", None), ("2024-10/01", None),
     ("2024", None), ("12:30", None), ("31/02/2024", None), ("", None), (None, None), ("abc", None),
 ]
 
