@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +24,35 @@ SETTINGS = {
 }
 
 
+#: Of SETTINGS, those that a session given by the caller needs for right results.
+NEEDED = ("spark.sql.session.timeZone", "spark.sql.sources.partitionOverwriteMode", "spark.sql.legacy.javaCharsets")
+
+_shipped: set[str] = set()
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Prepares a session that was made elsewhere; every registered query calls it.
+
+    Sets the run-time settings that results depend on, and sends this package to the executors, whose Python workers
+    import it by name.
+    """
+    for key in NEEDED:
+        if spark.conf.get(key, None) != SETTINGS[key]:
+            spark.conf.set(key, SETTINGS[key])
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="lakewright-ship-"), "lakewright.zip")  # the driver serves it to all
+        with zipfile.ZipFile(path, "w") as out:
+            for top, _, names in os.walk(package):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    full = os.path.join(top, name)
+                    out.write(full, os.path.join("lakewright", os.path.relpath(full, package)))
+        spark.sparkContext.addPyFile(path)
+        _shipped.add(app)
+    return spark
+
+
 def local_session(app: str = "lakewright", cores: str = "*", shuffle: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench. On a cluster, use the one that is given."""
     builder = (
@@ -35,7 +67,7 @@ def local_session(app: str = "lakewright", cores: str = "*", shuffle: int = 8, m
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return configure(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,7 +81,7 @@ def shared_folder(spark: SparkSession) -> str:
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/").rsplit("/", 1)[0]
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="lakewright-")
     spark.sparkContext.setCheckpointDir(folder)
