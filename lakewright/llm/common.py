@@ -107,5 +107,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ).distinct()
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once even where ``body`` uses it for every element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def crc32(text: Column) -> Column:
     return F.crc32(F.encode(text, "utf-8"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import setjoin as S
 from . import words as W
-from .common import fresh, small, store
+from .common import fresh, let, small, store
 
 
 def line_offsets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -132,9 +132,11 @@ def dedup_lines(docs: DataFrame, size: int = 5, percent: int = 80, least: int =
         F.col("doc_id").cast("long") == F.col(key), "left",
     )
     parts = F.split("text", "\n")
-    rest = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lines))
-    text = F.when(F.col(lines).isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(rest, lambda i: F.get(parts, i)), "\n")
-    )
+
+    def rest(parts):
+        kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lines))
+        return F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
+
+    text = F.when(F.col(lines).isNull(), F.col("text")).otherwise(let(parts, rest))
     extra = [F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.coalesce(F.size(lines), F.lit(0)).alias("n_removed")]
     return out.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], *(extra if counts else []))
