@@ -92,15 +92,16 @@ def repeated_lines(docs: DataFrame, size: int = 5, percent: int = 80, least: int
     entries = store(S.shared(entries), "entries")
 
     # hubs first: the later line of a verified pair goes
-    pairs = store(S.hub_pairs(entries, percent), "pairs")
+    hubs = store(S.hubs(entries), "hubs")
+    pairs = store(S.hub_pairs(entries, hubs, percent), "pairs")
     links = _check(docs, pairs, places, size, least, percent)
     at = classes.select("id", "at")
     placed = links.join(at.select(F.col("id").alias("a"), F.col("at").alias("x")), "a")
     placed = placed.join(at.select(F.col("id").alias("b"), F.col("at").alias("y")), "b")
     gone = store(placed.select(F.when(F.col("x") > F.col("y"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct(), "gone")
 
-    # then every line that is still there against all earlier ones in its lists
-    wide = entries.select("token", "id", "n", "pos").join(at, "id")
+    # then every line that is still there against all earlier ones in its lists; the hubs' pairs are known
+    wide = entries.select("token", "id", "n", "pos").join(hubs, "token").where("id != hub.id").drop("hub").join(at, "id")
     wide = wide.join(gone.select(F.col("id").alias("_gone")), F.col("id") == F.col("_gone"), "left")
     wide = wide.select("token", F.col("_gone").isNull().alias("here"), F.struct("at", "id", "n", "pos").alias("own"))
     wide = store(wide, "wide")
@@ -110,6 +111,7 @@ def repeated_lines(docs: DataFrame, size: int = 5, percent: int = 80, least: int
     early, late = wide.select("token", F.col("own").alias("x")), wide.where("here").select("token", F.col("own").alias("y"))
     both = early.join(late, "token").where((F.col("x.at") < F.col("y.at")) & S.fits("x", "y", percent))
     both = both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    both = both.join(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
     more = _check(docs, store(both, "open"), places, size, least, percent)
     gone = gone.union(more.select(F.col("b").alias("id"))).distinct()
 

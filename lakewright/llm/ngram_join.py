@@ -6,7 +6,7 @@
 
 Links are wanted up to reachability, so pairs of one component need no check: each list's hub is compared first
 (``setjoin.hub_pairs``); after the components of these links are known, every pair of list members that still lie in
-different components is compared. No link between different components is lost, and near copies of one text do not
+different components is compared, but for the hub's pairs, which are known. No link between different components is lost, and near copies of one text do not
 meet all with all.
 """
 
@@ -88,16 +88,19 @@ def linked_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     entries = rep.select("id", "n", "members", F.size("prefix").alias("plen"), F.posexplode("prefix").alias("pos", "token"))
     entries = store(S.shared(entries), "entries")
 
-    pairs = S.hub_pairs(entries, percent)  # group pairs, expanded: the hub's first class against all of the other group
+    hubs = store(S.hubs(entries), "hubs")
+    pairs = S.hub_pairs(entries, hubs, percent)  # group pairs, expanded: the hub's first class against all of the other group
     spread = pairs.join(of_group.select(F.col("group").alias("b"), F.col("id").alias("c")), "b", "left")
     first = spread.select("a", F.coalesce("c", "b").alias("b"))
     within = of_group.where("id != group").select(F.col("group").alias("a"), F.col("id").alias("b"))
-    links = _check(docs, store(first.union(within).distinct(), "pairs"), size, percent)
+    checked = store(first.union(within).distinct(), "pairs")
+    links = _check(docs, checked, size, percent)
     parts = components(links)
 
-    # every pair of members of one list that is still in two components
+    # every other pair of members of one list that is still in two components
     wide = entries.join(of_group.select(F.col("group").alias("id"), F.col("id").alias("c")), "id", "left")
     wide = wide.select("token", F.coalesce("c", "id").alias("id"), "n", "pos")
+    wide = wide.join(hubs, "token").where("id != hub.id").drop("hub")
     wide = wide.join(parts, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id"))
     wide = store(wide.select("token", F.struct("id", "n", "pos", "part").alias("own")), "wide")
     mixed = wide.groupBy("token").agg(F.min("own.part").alias("lo"), F.max("own.part").alias("hi")).where("lo != hi")
@@ -106,7 +109,9 @@ def linked_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     open_pairs = left.join(right, "token").where(
         (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & S.fits("x", "y", percent)
     )
-    open_pairs = store(open_pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "open")
+    open_pairs = open_pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    either = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    open_pairs = store(open_pairs.join(either, ["a", "b"], "left_anti"), "open")
     more = _check(docs, open_pairs, size, percent)
     if more.isEmpty():
         last = parts

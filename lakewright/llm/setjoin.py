@@ -85,16 +85,21 @@ def shared(entries: DataFrame) -> DataFrame:
     return entries.withColumn("_total", total).where("_total > 1").drop("_total")
 
 
-def hub_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """(hub, id): for every list of ``shared`` entries its hub against the others that pass the filters.
+def hubs(entries: DataFrame) -> DataFrame:
+    """(token, hub): for every list of ``shared`` entries its hub, a struct (id, n, pos).
 
     The hub is the entry whose prefix has the largest share of such tokens, so the text that others were copied from
-    comes before its altered copies. The number of pairs is at most the number of entries.
+    comes before its altered copies.
     """
-    common = entries.groupBy("id").agg((F.count("*") / F.max("plen")).alias("share"))
-    e = entries.join(common.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).drop("_id")
-    hub = e.groupBy("token").agg(F.min(F.struct((-F.col("share")).alias("o"), "id", "n", "pos")).alias("hub"))
-    both = e.withColumn("own", F.struct("id", "n", "pos")).join(hub, "token")
+    common = entries.groupBy(F.col("id").alias("_id")).agg((F.count("*") / F.max("plen")).alias("share"))
+    e = entries.join(common, F.col("id") == F.col("_id"))
+    first = e.groupBy("token").agg(F.min(F.struct((-F.col("share")).alias("o"), "id", "n", "pos")).alias("hub"))
+    return first.select("token", F.struct("hub.id", "hub.n", "hub.pos").alias("hub"))
+
+
+def hub_pairs(entries: DataFrame, hub: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the hub of every list against the others that pass the filters; at most as many as there are entries."""
+    both = entries.withColumn("own", F.struct("id", "n", "pos")).join(hub, "token")
     return both.where((F.col("hub.id") != F.col("id")) & fits("hub", "own", percent)).select(
         F.col("hub.id").alias("a"), F.col("id").alias("b")
     ).distinct()
