@@ -74,7 +74,8 @@ def repeated_spans(docs: DataFrame, least_sentences: int = 2, least_words: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     spans = _spans(docs, least_sentences, least_words)
     first = spans.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "s")).alias("first"), F.count("*").alias("c"))
-    again = spans.join(first.where("c > 1").select("h1", "h2", "first"), ["h1", "h2"])
+    first = store(first.where("c > 1").select("h1", "h2", "first"), "firsts")  # a plain table, so that a hot hash's spans can be split
+    again = spans.join(first, ["h1", "h2"])
     again = again.where("struct(doc_id, s) != first").select("doc_id", "s", (F.col("s") + F.col("k")).alias("e"))
     again = again.distinct()
     by = Window.partitionBy("doc_id").orderBy("s")
