@@ -112,7 +112,15 @@ def pages_to_text(pages: DataFrame, html: str = "html", block: str | None = None
 
 def hrefs(html: Column) -> Column:
     """Targets of all links, in order, as written."""
-    return F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1))
+    raw = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
+
+    def plain(target: Column) -> Column:
+        out = F.when(target.rlike("^[\"']"), F.substr(target, F.lit(2), F.length(target) - 2)).otherwise(target)
+        for entity, char in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+            out = F.replace(out, F.lit(entity), F.lit(char))
+        return out
+
+    return F.transform(raw, plain)
 
 
 # Lines made by share buttons.
@@ -128,23 +136,22 @@ def clean_text(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
-def decode(content: bytes, content_type: str | None = None) -> str:
-    """Text of a page: charset of the header, else of the meta tag, then UTF-8, then windows-1252."""
-    named = re.search(r"charset=([\w-]+)", content_type or "", re.I)
-    meta = re.search(rb"<meta[^>]+charset=[\"']?([\w-]+)", content[:4000], re.I)
-    first = named.group(1) if named else meta.group(1).decode() if meta else "utf-8"
-    for name in (first, "utf-8", "cp1252"):
-        try:
-            return content.decode(name)
-        except (UnicodeDecodeError, LookupError):
-            pass
-    return content.decode("utf-8", errors="replace")
+#: Names that pages give to the one-byte charsets read here; others are taken for UTF-8.
+ONE_BYTE = ("windows-1252", "cp1252", "iso-8859-1", "latin-1", "latin1", "us-ascii")
 
 
-def decode_pages(df: DataFrame, content: str = "content", content_type: str = "content_type", out: str = "html") -> DataFrame:
-    @F.pandas_udf("string")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for bodies, kinds in batches:
-            yield pd.Series([decode(b, k) for b, k in zip(bodies, kinds)])
+def decoded(content: Column, content_type: Column) -> Column:
+    """Text of a page's bytes: by the charset of the header, else of the meta tag anywhere in the page, else UTF-8.
 
-    return df.withColumn(out, run(F.col(content), F.col(content_type)))
+    Bytes that are no UTF-8 are read as windows-1252.
+    """
+    western = F.decode(content, "windows-1252")
+    named = F.nullif(F.regexp_extract(F.coalesce(content_type, F.lit("")), r"(?i)charset=\s*[\"']?([\w-]+)", 1), F.lit(""))
+    meta = F.nullif(F.regexp_extract(western, r"(?i)<meta[^>]+charset=\s*[\"']?([\w-]+)", 1), F.lit(""))
+    one_byte = F.lower(F.coalesce(named, meta, F.lit("utf-8"))).isin(*ONE_BYTE)
+    text = content.cast("string")
+    return F.when(one_byte | ~F.is_valid_utf8(text), western).otherwise(text)
+
+
+def decode_pages(df: DataFrame, content: str = "content", content_type: str = "content_type", out: str = "html") -> DataFrame:
+    return df.withColumn(out, decoded(F.col(content), F.col(content_type)))

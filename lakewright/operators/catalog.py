@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -145,9 +146,20 @@ def read_only(spark: SparkSession, sql: str) -> DataFrame:
     """One SELECT or WITH as a lazy frame.
 
     The statement is parsed as a subquery, where commands, inserts and a second statement are syntax
-    errors; literals such as 'set' do no harm.
+    errors; literals such as 'set' do no harm. Its parsed plan may read registered views and its own named
+    subqueries only (no files by path, no other catalogue), and must not call into the JVM's classes.
     """
     statement = sql.strip().rstrip(";").strip()
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(f"SELECT * FROM (\n{statement}\n) AS q").toString()
+    known = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+    known |= {n.strip().lower() for found in re.findall(r"CTE \[([^\]]*)\]", plan) for n in found.split(",")}
+    for found in re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan):
+        if found.lower() not in known:
+            raise ValueError(f"{found} is no registered view")
+    if called := re.search(r"\b(java_method|reflect|try_reflect)\b", plan, re.I):
+        raise ValueError(f"{called[1]} is not allowed")
+    if re.search(r"UnresolvedTableValuedFunction|UnresolvedIdentifier|PlanWithUnresolvedIdentifier", plan):
+        raise ValueError("table functions and computed names are not allowed")
     return spark.sql(f"SELECT * FROM (\n{statement}\n) AS q")
 
 

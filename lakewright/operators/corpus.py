@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
@@ -75,33 +75,48 @@ def upsert(
     state: DataFrame,
     text: Column,
     min_chars: Column | int = MIN_CHARS,
-    max_chars: int = MAX_CHARS,
     key: str = "url",
+    order: str | None = None,
 ) -> Upsert:
-    """Marks each document as new, changed, unchanged or too short.
+    """Marks each document as new, changed, unchanged or too short, by its whole text.
 
-    ``state`` holds one row (key, sha256). The text stays in place: only keys and hashes are joined when
-    the caller selects no text afterwards.
+    ``state`` holds one row (key, sha256). ``order`` names the sequence of arrivals, if a key may come more than once:
+    an arrival is held against the last one of its key that was long enough, the first such against the state. The text
+    stays in place: only keys and hashes are joined when the caller selects no text afterwards. ``cut`` may come before.
     """
-    final = incoming.withColumn("text", cut(text, max_chars))
+    final = incoming.withColumn("text", text)
     final = final.withColumn("chars", F.char_length("text").cast("bigint"))
     final = final.withColumn("sha256", F.when(F.col("chars") >= min_chars, sha(F.col("text"))))
-    old = state.select(key, F.col("sha256").alias("old__"))
+    old = state.select(F.col(key).alias("key__"), F.col("sha256").alias("old__"))
+    joined = final.join(old, F.col(key).eqNullSafe(F.col("key__")), "left").drop("key__")
+    if order:
+        before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        seen = joined.select(key, order, "sha256", F.last("sha256", ignorenulls=True).over(before).alias("last__"))
+        seen = seen.where("last__ is not null").select(F.col(key).alias("key__"), F.col(order).alias("order__"), "last__")
+        joined = joined.join(seen, F.col(key).eqNullSafe(F.col("key__")) & (F.col(order) == F.col("order__")), "left")
+        joined = joined.withColumn("old__", F.coalesce("last__", "old__")).drop("key__", "order__", "last__")
     status = (
         F.when(F.col("sha256").isNull(), "too_short")
         .when(F.col("old__").isNull(), "new")
         .when(F.col("old__") == F.col("sha256"), "unchanged")
         .otherwise("changed")
     )
-    return Upsert(final.join(old, key, "left").withColumn("status", status).drop("old__"))
+    return Upsert(joined.withColumn("status", status).drop("old__"))
 
 
-def next_state(state: DataFrame, changes: DataFrame, key: str = "url") -> DataFrame:
-    """State after a run: changed keys replaced, new keys added, the rest kept."""
-    both = state.select(key, "sha256", F.lit(0).alias("seq")).unionByName(changes.select(key, "sha256", F.lit(1).alias("seq")))
+def next_state(state: DataFrame, changes: DataFrame, key: str = "url", order: str | None = None) -> DataFrame:
+    """State after a run: changed keys replaced by their last arrival, new keys added, the rest kept."""
+    at = F.struct(F.lit(1).alias("run"), (F.col(order) if order else F.lit(0)).cast("long").alias("at"))
+    none = F.struct(F.lit(0).alias("run"), F.lit(None).cast("long").alias("at"))
+    both = state.select(key, "sha256", none.alias("seq")).unionByName(changes.select(key, "sha256", at.alias("seq")))
     return latest_state(both, [key])
 
 
+def current_documents(stored: DataFrame, state: DataFrame, hash_: str = "sha256") -> DataFrame:
+    """Stored documents whose content some key of the state still has."""
+    return stored.join(state.select(hash_).distinct(), hash_, "left_semi")
+
+
 def content_keys(docs: DataFrame, hash_: str = "sha256", order: str = "seq", keep: Sequence[str] = ("url",)) -> DataFrame:
     """One stored document per content; the last writer's metadata wins."""
     return latest_state(docs, [hash_], order, keep).withColumn("doc_id", doc_id(F.col(hash_)))

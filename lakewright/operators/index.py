@@ -12,13 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.text import fold, words
 from ..session import materialize
 
-# Characters of title and chunk that are embedded.
-EMBED_CHARS = 2048
-
 
 def embed_input(title: Column, text: Column) -> Column:
     """The title gives its context to every chunk."""
-    return F.substring(F.concat_ws("\n", title, text), 1, EMBED_CHARS)
+    return F.concat_ws("\n", title, text)
 
 
 def searchable(chunks: DataFrame, title: str = "title", text: str = "text", out: str = "norm") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import percentile_interpolated
+from .ordered import join_keys, percentile_interpolated
 
 # Trusted wind readings, grid step in degrees, Earth radius in metres.
 MAX_WIND = 40
@@ -54,7 +54,7 @@ def noise_floor(fact: DataFrame, keys: Sequence[str], generated: str, reference:
     )
     marks = percentile_interpolated(free.select(*keys, relative.alias("e")), keys, "e", {"error_p50": 0.5, "error_p90": 0.9})
     marks = marks.select(*keys, F.round("error_p50", 6).alias("error_p50"), F.round("error_p90", 6).alias("error_p90"))
-    return shares.join(marks, list(keys))
+    return join_keys(shares, marks, keys, "left")
 
 
 def cell_of(degrees: Column, step: float = CELL) -> Column:

@@ -15,6 +15,17 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys in which a null matches a null; the left side's keys stay."""
+    if not keys:
+        raise ValueError("no keys")
+    renamed = right.withColumnsRenamed({k: f"{k}__right" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}__right"))
+    return left.join(renamed, same, how).drop(*[f"{k}__right" for k in keys])
+
+
 def _prefix(totals: DataFrame, keys: Sequence[str], bucket: str, total: str, out: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     return totals.withColumn(out, F.coalesce(F.sum(total).over(w), F.lit(0)))
@@ -38,7 +49,7 @@ def running_before(
     inside = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     work = work.withColumn(out, F.coalesce(F.sum(a).over(inside), F.lit(0)))
     return (
-        work.join(offsets, [*keys, b])
+        join_keys(work, offsets, [*keys, b])
         .withColumn(out, F.col(out) + F.col(before))
         .drop(b, a, before)
     )
@@ -100,7 +111,7 @@ def order_statistics(
         *keys, "lo__", "hi__", "n",
         F.array(*[F.struct(F.lit(name).alias("name"), r.cast("long").alias("rank")) for name, r in ranks.items()]).alias("want__"),
     )
-    placed = counted.join(wanted, list(keys)) if keys else _with_one_row(counted, wanted)
+    placed = join_keys(counted, wanted, keys) if keys else _with_one_row(counted, wanted)
     step = F.when(F.col("hi__") > F.col("lo__"), (F.col("v__") - F.col("lo__")) / (F.col("hi__") - F.col("lo__"))).otherwise(F.lit(0.0))
     placed = placed.withColumn("b__", F.floor(step * buckets))
     totals = placed.groupBy(*keys, "b__").agg(F.sum("c__").alias("t__"), F.first("want__").alias("want__"))
@@ -109,8 +120,7 @@ def order_statistics(
     targets = offsets.withColumn("want__", hit).filter(F.size("want__") > 0).select(*keys, "b__", "p__", "want__")
     inside = Window.partitionBy(*keys, "b__").orderBy("v__").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = (
-        placed.drop("want__", "lo__", "hi__")
-        .join(targets, [*keys, "b__"])
+        join_keys(placed.drop("want__", "lo__", "hi__"), targets, [*keys, "b__"])
         .withColumn("upto__", F.col("p__") + F.sum("c__").over(inside))
         .withColumn("s__", F.explode("want__"))
         .filter((F.col("s__.rank") < F.col("upto__")) & (F.col("s__.rank") >= F.col("upto__") - F.col("c__")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import admits_gap, near_any, numbers
-from .ordered import order_statistics
+from .ordered import join_keys, order_statistics
 
 # Routes, levels of difficulty, and what marks small talk.
 ROUTES = ("dados", "documentos", "misto", "conversa", "fora_escopo")
@@ -51,7 +51,7 @@ def latency(df: DataFrame, keys: Sequence[str], value: str, digits: int = 2) ->
     }
     marks = order_statistics(df, keys, value, ranks).drop("n")
     means = df.groupBy(*keys).agg(F.round(F.avg(value), digits).alias("mean"), F.max(value).alias("max"))
-    return means.join(marks, list(keys))
+    return join_keys(means, marks, keys, "left")
 
 
 def label_accuracy(df: DataFrame, accepted: Column, obtained: Column) -> DataFrame:

@@ -16,12 +16,6 @@ from ..functions.text import lexical_share
 LEXICAL_WEIGHT = 0.15
 NORM_FLOOR = 1e-9
 PER_DOCUMENT = 3
-K_RANGE = (1, 10)
-
-
-def clamp_k(k: int) -> int:
-    low, high = K_RANGE
-    return max(low, min(int(k), high))
 
 
 def cosine(df: DataFrame, vector: str, query: Sequence[float], out: str = "cosine") -> DataFrame:
@@ -66,13 +60,14 @@ def cosine_column(vector: Column, query: Sequence[float]) -> Column:
     return total(F.zip_with(v, other, lambda a, b: a * b)) / F.greatest(length, F.lit(NORM_FLOOR))
 
 
-def hybrid_score(cos: Column, folded: Column, terms: Sequence[str]) -> Column:
-    return cos + LEXICAL_WEIGHT * lexical_share(folded, list(terms)) if terms else cos
+def hybrid_score(cos: Column, folded: Column, terms: Column) -> Column:
+    """Cosine plus the weighted share of the terms, an array; without terms the cosine alone."""
+    return cos + LEXICAL_WEIGHT * lexical_share(folded, terms)
 
 
 def top_k(df: DataFrame, score: str, k: int, ties: Sequence[str]) -> DataFrame:
     """Best k rows; each task keeps only its own best k."""
-    return df.orderBy(F.col(score).desc(), *ties).limit(clamp_k(k))
+    return df.orderBy(F.col(score).desc(), *ties).limit(k)
 
 
 def capped_top_k(df: DataFrame, score: str, k: int, doc: str, ties: Sequence[str], per_doc: int = PER_DOCUMENT) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold_name
 from ..session import materialize
-from .ordered import running_before
+from .ordered import join_keys, running_before
 
 # Formats in the order in which they are looked for and preferred, and the URL rules.
 KNOWN_FORMATS = ("csv", "xlsx", "pdf", "json", "xml", "zip")
@@ -112,18 +112,18 @@ def budget_greedy(
     while True:
         # the very first item of a group is taken even when it alone passes the budget
         small = left.filter(F.col("n__") <= fold_rows).select(*keys, "left__")
-        taken.append(_fold(items.join(small, list(keys)), keys, size, first_round).select(*df.columns))
+        taken.append(_fold(join_keys(items, small, keys), keys, size, first_round).select(*df.columns))
         big = left.filter(F.col("n__") > fold_rows).select(*keys, "left__", *(["first__"] if first_round else []))
         if big.isEmpty():
             break
-        rest = items.join(big, list(keys))
+        rest = join_keys(items, big, keys)
         ranked = running_before(rest, keys, [F.col("o__")], F.col("b__"), F.col(size), "before__")
         fits = F.col("before__") + F.col(size) <= F.col("left__")
         if first_round:
             fits = fits | (F.col("o__") == F.col("first__"))
         crossing = ranked.groupBy(*keys).agg(F.min(F.when(~fits, F.col("o__"))).alias("stop__"))
         marked = materialize(
-            ranked.join(crossing, list(keys)).withColumn(
+            join_keys(ranked, crossing, keys).withColumn(
                 "take__", F.col("stop__").isNull() | (F.col("o__") < F.col("stop__"))
             ),
             "greedy-round",
@@ -132,7 +132,7 @@ def budget_greedy(
         used = marked.groupBy(*keys).agg(
             (F.max("left__") - F.sum(F.when(F.col("take__"), F.col(size)).otherwise(0))).alias("left__")
         )
-        open_items = marked.filter(~F.col("take__")).drop("left__").join(used, list(keys)).filter(F.col(size) <= F.col("left__"))
+        open_items = join_keys(marked.filter(~F.col("take__")).drop("left__"), used, keys).filter(F.col(size) <= F.col("left__"))
         items = materialize(open_items.select(*df.columns, "o__", "b__", "left__"), "greedy-rest")
         left = items.groupBy(*keys).agg(F.first("left__").alias("left__"), F.count("*").alias("n__"))
         items = items.drop("left__")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,8 +13,6 @@ from pyspark.sql import types as T
 from ..functions import parse
 from . import schema as rules
 
-PARTITION_ROWS = 300_000
-
 
 @dataclass
 class Unified:
@@ -27,17 +25,16 @@ class Unified:
     null_time_rows: int = 0
     period: tuple | None = None
     files: int = 0
-    by_year: bool = field(default=False)
 
     @property
     def kept(self) -> DataFrame:
-        """Rows that go into year partitions."""
-        return self.df.filter(F.col(self.time_column).isNotNull()) if self.by_year else self.df
+        """Rows with a time; all rows of a table without a time column."""
+        return self.df.filter(F.col(self.time_column).isNotNull()) if self.time_column else self.df
 
     @property
     def quarantine(self) -> DataFrame:
-        """Rows without a time, which year partitions cannot hold."""
-        return self.df.filter(F.col(self.time_column).isNull()) if self.by_year else self.df.limit(0)
+        """Rows without a time, which no year holds."""
+        return self.df.filter(F.col(self.time_column).isNull()) if self.time_column else self.df.limit(0)
 
 
 def column_order(parts: Sequence[DataFrame]) -> list[str]:
@@ -125,7 +122,7 @@ def _profile(df: DataFrame, times: Sequence[str], exact: bool) -> dict:
     return df.agg(*aggs).first().asDict()
 
 
-def unify(parts: Sequence[DataFrame], partition_rows: int = PARTITION_ROWS, exact: bool = False) -> Unified:
+def unify(parts: Sequence[DataFrame], exact: bool = False) -> Unified:
     """Reconcile, cast, union, demote and profile.
 
     Two small jobs read the data (probe of undecided columns, profile of the union); both look at
@@ -159,7 +156,6 @@ def unify(parts: Sequence[DataFrame], partition_rows: int = PARTITION_ROWS, exac
     if time:
         out.null_time_rows = facts["rows"] - facts[f"{time}__filled"]
         out.period = (facts[f"{time}__min"], facts[f"{time}__max"])
-        out.by_year = facts["rows"] > partition_rows
     return out
 
 

@@ -79,14 +79,14 @@ def run(spark, folder):
     """A collection run: labelled documents are known, those of low quality in an older version."""
     d = docs(spark, folder)
     known = d.join(table(spark, folder, "labels"), "doc_id").select(
-        "url", co.sha(F.when(F.col("quality") == 1, co.cut(F.col("text"), LIMIT)).otherwise(F.concat("text", F.lit(" old")))).alias("sha256")
+        "url", co.sha(F.when(F.col("quality") == 1, F.col("text")).otherwise(F.concat("text", F.lit(" old")))).alias("sha256")
     )
-    return co.upsert(d, known, F.col("text"), max_chars=LIMIT), known
+    return co.upsert(d, known, F.col("text")), known
 
 
 RUN_SQL = f"""
 WITH d AS (SELECT doc_id, source, url, t, CASE WHEN length(t) >= 300 THEN sha256(t) END AS sha, quality, text
-           FROM (SELECT u.*, {CUT} AS t, quality FROM ({URLS}) u LEFT JOIN labels USING (doc_id))),
+           FROM (SELECT u.*, text AS t, quality FROM ({URLS}) u LEFT JOIN labels USING (doc_id))),
 m AS (SELECT *, CASE WHEN quality = 1 THEN sha256(t) WHEN quality = 0 THEN sha256(text || ' old') END AS old FROM d),
 s AS (SELECT *, CASE WHEN sha IS NULL THEN 'too_short' WHEN old IS NULL THEN 'new' WHEN old = sha THEN 'unchanged' ELSE 'changed' END AS status FROM m)
 """
@@ -118,6 +118,36 @@ def ingest_counters(spark, folder):
     return outcome.counters()
 
 
+ARRIVALS_SQL = """
+WITH a AS (SELECT 'https://docs.example.org/' || source AS url, source, doc_id, text, CASE WHEN length(text) >= 300 THEN sha256(text) END AS sha FROM documents),
+p AS (SELECT *, last_value(sha IGNORE NULLS) OVER (PARTITION BY url ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old FROM a),
+s AS (SELECT *, CASE WHEN sha IS NULL THEN 'too_short' WHEN old IS NULL THEN 'new' WHEN old = sha THEN 'unchanged' ELSE 'changed' END AS status FROM p)
+"""
+
+
+def arrivals(spark, folder):
+    """A run in which a URL arrives many times: all documents of a source are versions of one page."""
+    d = table(spark, folder, "documents").withColumn("url", F.concat(F.lit("https://docs.example.org/"), "source"))
+    none = d.select("url", F.lit(None).cast("string").alias("sha256")).limit(0)
+    return co.upsert(d, none, F.col("text"), order="doc_id"), none
+
+
+@query("arrival_status", ARRIVALS_SQL + "SELECT doc_id, status FROM s")
+def arrival_status(spark, folder):
+    return arrivals(spark, folder)[0].marked.select("doc_id", "status")
+
+
+@query("docs_current", ARRIVALS_SQL + """
+, l AS (SELECT url, arg_max(sha, doc_id) AS sha FROM s WHERE status IN ('new', 'changed') GROUP BY 1)
+SELECT doc_id, sha AS sha256 FROM s WHERE status IN ('new', 'changed') AND sha IN (SELECT sha FROM l)
+""")
+def docs_current(spark, folder):
+    """Stored versions that are the current content of some URL."""
+    outcome, none = arrivals(spark, folder)
+    changes = outcome.changes.select("url", "sha256", "doc_id")
+    return co.current_documents(changes, co.next_state(none, changes, order="doc_id")).select("doc_id", "sha256")
+
+
 @query("page_links", """
 WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1)) AS href FROM pages)
 SELECT page_id, href, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href AS target, count(*) AS n FROM l GROUP BY ALL
@@ -224,10 +254,15 @@ LEX_SQL = " + ".join(
 )
 
 
+def question_terms(spark):
+    """Terms of the constant question, found once."""
+    return spark.range(1).select(tx.terms(F.lit(QUESTION)).alias("t")).scalar()
+
+
 @query("lexical_score", f"SELECT doc_id, ({LEX_SQL}) / 4.0::DOUBLE AS share FROM documents")
 def lexical_score(spark, folder):
     folded = tx.fold(F.concat_ws(" ", "source", "text"))
-    return table(spark, folder, "documents").select("doc_id", tx.lexical_share(folded, tx.literal_terms(QUESTION)).alias("share"))
+    return table(spark, folder, "documents").select("doc_id", tx.lexical_share(folded, question_terms(spark)).alias("share"))
 
 
 def query_vector(spark, folder):
@@ -241,7 +276,7 @@ COS = "list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / greatest
 
 @query("vector_topk", f"""
 WITH q AS (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)
-SELECT vec_id, round({COS}, 6) AS cosine FROM embeddings e, q ORDER BY cosine DESC, vec_id LIMIT 10
+SELECT vec_id, round({COS}, 6) AS cosine FROM embeddings e, q ORDER BY cosine DESC, vec_id LIMIT 25
 """)
 def vector_topk(spark, folder):
     e = table(spark, folder, "embeddings").select("vec_id", "embedding")
@@ -274,7 +309,7 @@ def hybrid_topk_cap3(spark, folder):
     """Chunks are vectors of documents; a source stands for the document that may appear three times."""
     wanted = se.facets(docs(spark, folder), agency="SRC1", agency_column="source")
     folded = tx.fold(F.concat_ws(" ", "source", "text"))
-    lexical = tx.lexical_share(folded, tx.literal_terms(QUESTION))
+    lexical = tx.lexical_share(folded, question_terms(spark))
     small = wanted.select("doc_id", "source", "lang", "url", lexical.alias("lexical"))
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id"), "embedding")
     cosines = se.cosine(vectors, "embedding", query_vector(spark, folder))

@@ -320,12 +320,32 @@ def null_time_dropped(spark, folder):
     holes = _orders(spark, folder).select(
         "o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("dat_pedido")
     )
-    table_ = un.unify([holes], partition_rows=0)
+    table_ = un.unify([holes])
     return table_.kept.agg(F.count("*").alias("kept")).withColumn(
         "quarantined", table_.quarantine.agg(F.count("*")).scalar()
     )
 
 
+@query("unified_write_complete", """
+WITH m AS (SELECT CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate END AS t FROM orders)
+SELECT layout, count(*) AS n, count(*) FILTER (WHERE t IS NULL) AS without_time, count(DISTINCT year(t)) AS years
+FROM m, (SELECT unnest(['plain', 'year']) AS layout) GROUP BY 1
+""")
+def unified_write_complete(spark, folder):
+    """Both layouts store every row, with or without a time."""
+    t = F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("dat_pedido")
+    unified, parts = un.unify([_orders(spark, folder).select("o_orderkey", t)]), []
+    for layout in ("plain", "year"):
+        path = scratch_path(spark, f"unified-{layout}")
+        sinks.write_unified(unified, path, layout)
+        back = spark.read.parquet(path)
+        parts.append(back.agg(
+            F.lit(layout).alias("layout"), F.count("*").alias("n"), F.count_if(F.col("dat_pedido").isNull()).alias("without_time"),
+            F.count_distinct(F.year("dat_pedido")).alias("years"),
+        ))
+    return parts[0].union(parts[1])
+
+
 @query("write_roundtrip", """
 SELECT year(o_orderdate) AS ano, count(*) AS n, round(sum(CASE WHEN year(o_orderdate) = 1996 THEN o_totalprice * 2 ELSE o_totalprice END), 2) AS total
 FROM orders GROUP BY 1

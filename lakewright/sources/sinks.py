@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.unify import Unified
 
 ROWS_PER_FILE = 5_000_000
-SMALL_TABLE_ROWS = 300_000
 
 
 def write_by_year(df: DataFrame, path: str, time_column: str, year: str = "ano", rows_per_file: int = ROWS_PER_FILE) -> None:
-    """ZSTD Parquet below ``ano=YYYY``. Rows without a time are left out; see ``Unified.quarantine``.
+    """ZSTD Parquet below ``ano=YYYY``. Rows without a time are stored too, in the partition of the null year.
 
     ``rebalance`` groups rows of a year to avoid small files, while AQE splits a year that is too big
     for one task; ``maxRecordsPerFile`` bounds the files.
@@ -20,8 +20,7 @@ def write_by_year(df: DataFrame, path: str, time_column: str, year: str = "ano",
     if year in df.columns:
         raise ValueError(f"the table already has a column {year}")
     (
-        df.filter(F.col(time_column).isNotNull())
-        .withColumn(year, F.year(time_column))
+        df.withColumn(year, F.year(time_column))
         .hint("rebalance", year)
         .write.mode("overwrite")
         .option("compression", "zstd")
@@ -32,19 +31,29 @@ def write_by_year(df: DataFrame, path: str, time_column: str, year: str = "ano",
     )
 
 
-def write_plain(df: DataFrame, path: str, rows: int) -> None:
-    """One file for a small table, as many as there are tasks for others."""
-    out = df.coalesce(1) if rows <= SMALL_TABLE_ROWS else df
-    out.write.mode("overwrite").option("compression", "zstd").parquet(path)
+def write_plain(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Without partitions; ``rebalance`` makes few files of a small table."""
+    out = df.hint("rebalance").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
+    out.option("compression", "zstd").parquet(path)
 
 
-def write_unified(table: Unified, path: str) -> str:
-    """By year when the table is big and has a time column, else plain. Returns the layout."""
-    if table.by_year:
+def write_unified(table: Unified, path: str, layout: str) -> int:
+    """All rows of the table in the layout asked for, ``year`` or ``plain``; returns how many were stored.
+
+    The stored rows are counted and held against the rows that were read.
+    """
+    if layout == "year":
+        if not table.time_column:
+            raise ValueError("a table without a time column has no years")
         write_by_year(table.df, path, table.time_column)
-        return "year"
-    write_plain(table.df, path, table.rows)
-    return "plain"
+    elif layout == "plain":
+        write_plain(table.df, path)
+    else:
+        raise ValueError(f"no layout {layout}")
+    stored = table.df.sparkSession.read.parquet(path).count()
+    if stored != table.rows:
+        raise RuntimeError(f"{stored} of {table.rows} rows were stored in {path}")
+    return stored
 
 
 def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
@@ -69,5 +78,11 @@ def write_catalog(entries: DataFrame, path: str) -> None:
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
-    """Documents under their content id; a repeated id is the same content, so appending is safe to repeat."""
-    docs.dropDuplicates(["doc_id"]).write.mode("append").option("compression", "zstd").parquet(path)
+    """Documents under their content id. Ids that the store has already are not stored again."""
+    new = docs.dropDuplicates(["doc_id"])
+    try:
+        new = new.join(docs.sparkSession.read.parquet(path).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    new.write.mode("append").option("compression", "zstd").parquet(path)

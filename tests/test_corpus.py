@@ -1,9 +1,10 @@
 import random
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from lakewright.functions import chunking, html as hx
+from lakewright.functions import chunking, html as hx, text as tx
 from lakewright.operators import corpus as co
 from lakewright.operators import index as ix
 from lakewright.operators import qa_eval as qa
@@ -62,11 +63,14 @@ def test_hidden_content_is_dropped():
 
 
 def test_charset_chain(spark):
-    assert hx.decode("ação".encode("latin-1"), "text/html; charset=iso-8859-1") == "ação"
-    assert hx.decode(b'<meta charset="cp1252">' + "“x”".encode("cp1252")) == '<meta charset="cp1252">“x”'
-    assert hx.decode("“é”".encode("cp1252"), "text/html; charset=bogus") == "“é”"
-    df = spark.createDataFrame([(bytearray("é".encode("cp1252")), None)], "content binary, content_type string")
-    assert hx.decode_pages(df).first().html == "é"
+    late = "x" * 5000 + '<meta charset="cp1252">'  # behind any prefix
+    cases = [
+        ("ação".encode("latin-1"), "text/html; charset=iso-8859-1", "ação"), ((late + "“x”").encode("cp1252"), None, late + "“x”"),
+        ("“é”".encode("cp1252"), "text/html; charset=bogus", "“é”"), ("é".encode("cp1252"), None, "é"), ("é☂".encode(), None, "é☂"),
+        ("é".encode(), "text/html; charset=UTF-8", "é"),
+    ]
+    df = spark.createDataFrame([(bytearray(b), t, w) for b, t, w in cases], "content binary, content_type string, wanted string")
+    assert all(r.html == r.wanted for r in hx.decode_pages(df).collect())
 
 
 def test_chunk_sizes():
@@ -120,12 +124,60 @@ def test_cosine_matches_numpy(spark):
     assert all(abs(plain[i] - got[i]) < 1e-9 for i in range(31))
 
 
+def test_links_in_all_quoting_styles(spark):
+    page = """<a href="x?a=1&amp;b=2">1</a><A class=k HREF='y'>2</a><a href=z>3</a><a data-href="no" href = "w">4</a><abbr href="no">"""
+    df = spark.createDataFrame([(page,)], "h string")
+    assert df.select(hx.hrefs(F.col("h"))).first()[0] == ["x?a=1&b=2", "y", "z", "w"]
+
+
+def test_every_parent_step_is_resolved(spark):
+    base = "http://h/a/b/c/d/e/f/g/h.html"
+    df = spark.createDataFrame([("../../../../../x",), ("../" * 20 + "x",), ("./y/./z",), ("../i/",), ("k?q=/../1",), ("..",)], "h string")
+    got = [r[0] for r in df.select(tx.resolve_url(F.lit(base), F.col("h"))).collect()]
+    assert got == [
+        "http://h/a/b/x", "http://h/x", "http://h/a/b/c/d/e/f/g/y/z", "http://h/a/b/c/d/e/f/i/", "http://h/a/b/c/d/e/f/g/k?q=/../1", "http://h/a/b/c/d/e/f/",
+    ]
+
+
+def test_arrivals_of_one_url_follow_their_sequence(spark):
+    rows = [("u", 1, "a" * 400), ("u", 2, "b" * 400), ("u", 3, "short"), ("u", 4, "b" * 400), ("u", 5, "a" * 400), ("v", 6, "c" * 6000 + "1"), (None, 7, "d" * 400)]
+    came = spark.createDataFrame(rows, "url string, seq int, text string").withColumn("source", F.lit("s"))
+    state = spark.createDataFrame([("v", "x")], "url string, sha256 string")
+    run = co.upsert(came, state, F.col("text"), order="seq")
+    got = {r.seq: r.status for r in run.marked.collect()}
+    assert got == {1: "new", 2: "changed", 3: "too_short", 4: "unchanged", 5: "changed", 6: "changed", 7: "new"}
+    after = co.next_state(state, run.changes, order="seq")
+    known = {r.url: r.sha256 for r in after.collect()}
+    marked = {r.seq: r.sha256 for r in run.marked.collect()}
+    assert known["u"] == marked[5] and known["v"] == marked[6] and len(known) == 3
+    assert {r.seq for r in co.current_documents(run.changes, after).collect()} == {1, 5, 6, 7}
+
+
+@pytest.mark.parametrize("attack", [
+    "select * from parquet.`/etc`", "select java_method('java.lang.System', 'getProperty', 'user.home')", "select reflect('java.lang.System', 'exit', '1')",
+    "select * from nowhere", "select 1; drop table x", "select * from range(5)", "select * from csv.`/etc/passwd`",
+])
+def test_sql_runner_refuses(spark, attack):
+    from pyspark.errors import PySparkException
+
+    from lakewright.operators import catalog
+
+    with pytest.raises((ValueError, PySparkException)):
+        catalog.answer(spark, attack)
+
+
+def test_sql_runner_answers_over_views(spark):
+    from lakewright.operators import catalog
+
+    spark.range(5).createOrReplaceTempView("some_rows")
+    assert catalog.answer(spark, "with t as (select id from some_rows where id > 1) select max(id) as m from t") == (["m"], [(4,)], False)
+
+
 def test_cap_per_document(spark):
     rows = [("hot", i, 1.0 - i / 1000) for i in range(50)] + [("x", 0, 0.5), ("y", 0, 0.4)]
     df = spark.createDataFrame(rows, "doc string, chunk int, score double")
     best = se.capped_top_k(df, "score", 8, "doc", ["doc", "chunk"])
     assert [(r.doc, r.chunk) for r in best.collect()] == [("hot", 0), ("hot", 1), ("hot", 2), ("x", 0), ("y", 0)]
-    assert se.clamp_k(0) == 1 and se.clamp_k(99) == 10
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "TakeOrderedAndProject" in plan
 
@@ -153,14 +205,14 @@ def test_small_talk_guard(spark):
 
 
 def test_hybrid_score_over_a_stored_index(spark, tmp_path):
-    from lakewright.functions.text import lexical_share, literal_terms
+    from lakewright.functions.text import lexical_share, terms
 
     rows = [("a", "Lei 14.300", "Sistema de Compensação", [1.0, 0.0]), ("b", "Notícia", "vento forte", [1.0, 0.0]), ("c", "x", "y", [0.0, 1.0])]
     chunks = spark.createDataFrame(rows, "source string, title string, text string, vector array<float>")
     ix.write_index(ix.searchable(chunks), str(tmp_path / "ix"))
-    terms = literal_terms("O que a lei 14.300 diz sobre compensação?")
+    wanted = terms(F.lit("O que a lei 14.300 diz sobre compensação?"))
     stored = spark.read.parquet(str(tmp_path / "ix"))
-    scored = se.cosine(stored, "vector", [2.0, 0.0]).withColumn("score", se.hybrid_score(F.col("cosine"), F.col("norm"), terms))
+    scored = se.cosine(stored, "vector", [2.0, 0.0]).withColumn("score", se.hybrid_score(F.col("cosine"), F.col("norm"), wanted))
     got = {r.source: round(r.score, 6) for r in scored.collect()}
     assert got == {"a": 1.15, "b": 1.0, "c": 0.0}
-    assert stored.select(lexical_share(F.col("norm"), [])).first()[0] == 0.0
+    assert stored.select(lexical_share(F.col("norm"), F.array().cast("array<string>"))).first()[0] == 0.0
