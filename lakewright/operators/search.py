@@ -60,9 +60,9 @@ def cosine_column(vector: Column, query: Sequence[float]) -> Column:
     return total(F.zip_with(v, other, lambda a, b: a * b)) / F.greatest(length, F.lit(NORM_FLOOR))
 
 
-def hybrid_score(cos: Column, folded: Column, terms: Column) -> Column:
-    """Cosine plus the weighted share of the terms, an array; without terms the cosine alone."""
-    return cos + LEXICAL_WEIGHT * lexical_share(folded, terms)
+def hybrid_score(cos: Column, folded: Column, terms: Sequence[str]) -> Column:
+    """Cosine plus the weighted share of the terms; without terms the cosine alone."""
+    return cos + LEXICAL_WEIGHT * lexical_share(folded, list(terms))
 
 
 def top_k(df: DataFrame, score: str, k: int, ties: Sequence[str]) -> DataFrame:

@@ -255,8 +255,8 @@ LEX_SQL = " + ".join(
 
 
 def question_terms(spark):
-    """Terms of the constant question, found once."""
-    return spark.range(1).select(tx.terms(F.lit(QUESTION)).alias("t")).scalar()
+    """Terms of the constant question, a few words."""
+    return spark.range(1).select(tx.terms(F.lit(QUESTION)).alias("t")).first().t
 
 
 @query("lexical_score", f"SELECT doc_id, ({LEX_SQL}) / 4.0::DOUBLE AS share FROM documents")
