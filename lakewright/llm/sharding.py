@@ -1,9 +1,9 @@
 """Shards of nearly equal bytes whose groups stay whole, by Karmarkar-Karp differencing.
 
-Documents with equal text are one group with one size. Every task takes a share of the groups and keeps a heap of
-partial partitions, each a tuple of shard sizes; the two with the largest spread are combined in opposite order until
-one is left. The tasks' last tuples are themselves partial partitions and are combined alike, so the driver sees
-``shards`` sums per task and nothing of documents.
+Documents with equal text are one group. Groups are gathered into a fixed number of bundles by a hash of the text, so
+what is differenced is bounded whatever the corpus, and a group that is larger than others is a larger bundle that the
+rest makes up for. Each bundle starts as a partial partition, a tuple of shard sizes; the two with the largest spread
+are combined in opposite order until one is left. With fewer groups than bundles, nearly every bundle is one group.
 """
 
 from __future__ import annotations
@@ -11,13 +11,12 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc32, ranked, store
 
-CHUNK = 20_000  #: groups that are differenced at a time
+BUNDLES = 1 << 14  #: sums that the driver sees, at most
 
 
 def difference(tuples: np.ndarray) -> np.ndarray:
@@ -56,13 +55,6 @@ def difference(tuples: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spread(sizes: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of each group of one chunk."""
-    tuples = np.zeros((len(sizes), shards), np.int64)
-    tuples[:, 0] = sizes
-    return difference(tuples)[:, 0]
-
-
 def balanced(docs: DataFrame, shards: int = 16) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row of ``docs``; the law is ``bytes``.
 
@@ -73,44 +65,15 @@ def balanced(docs: DataFrame, shards: int = 16) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
-        crc32(text).cast("long").alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("key"),
+        crc32(text).cast("long").alias("text_crc32"), F.pmod(F.xxhash64(text), F.lit(BUNDLES)).cast("int").alias("bundle"),
     )
     narrow = store(narrow.withColumn("_id", F.monotonically_increasing_id()), "sizes")
-    groups = narrow.groupBy("key").agg(F.sum("size").alias("bytes"))
-
-    def run(batches):
-        """Groups of one task, a bounded number at a time; each chunk's own balance is solved, chunks get a number."""
-        from pyspark import TaskContext
-
-        task, chunk = TaskContext.get().partitionId(), 0
-        table = pa.Table.from_batches([], pa.schema([("key", pa.binary()), ("bytes", pa.int64())]))
-        for batch in batches:
-            held = [*table.to_batches(), *pa.Table.from_batches([batch]).cast(table.schema).to_batches()]
-            table = pa.Table.from_batches(held, table.schema)
-            while table.num_rows >= CHUNK:
-                yield solve(table.slice(0, CHUNK), task, chunk)
-                table, chunk = table.slice(CHUNK), chunk + 1
-        if table.num_rows:
-            yield solve(table, task, chunk)
-
-    def solve(table, task, chunk):
-        sizes = table.column("bytes").to_numpy().astype(np.int64)
-        place = _spread(sizes, shards)
-        n = len(sizes)
-        return pa.RecordBatch.from_arrays(
-            [table.column("key").combine_chunks(), pa.array(sizes), pa.array(place.astype(np.int32)), pa.array(np.full(n, task, np.int32)), pa.array(np.full(n, chunk, np.int32))],
-            ["key", "bytes", "place", "task", "chunk"],
-        )
-
-    solved = store(groups.mapInArrow(run, "key binary, bytes long, place int, task int, chunk int"), "places")
-    sums = solved.groupBy("task", "chunk").pivot("place", list(range(shards))).agg(F.sum("bytes")).fillna(0)
-    rows = sums.orderBy("task", "chunk").collect()  # one row of `shards` sums per CHUNK groups
-    tuples = np.array([[r[str(s)] for s in range(shards)] for r in rows], np.int64).reshape(-1, shards)
-    turns = difference(tuples) if len(rows) else tuples
-    named = [(r["task"], r["chunk"], s, int(t[s])) for r, t in zip(rows, turns) for s in range(shards)]
-    turns = spark.createDataFrame(named, "task int, chunk int, place int, shard int")
-    final = solved.join(turns, ["task", "chunk", "place"]).select("key", "shard")
-    out = narrow.join(final, "key").drop("key")
+    rows = narrow.groupBy("bundle").agg(F.sum("size").alias("bytes")).orderBy("bundle").collect()  # at most BUNDLES
+    tuples = np.zeros((len(rows), shards), np.int64)
+    tuples[:, 0] = [r["bytes"] for r in rows]
+    places = difference(tuples)[:, 0].tolist()
+    named = spark.createDataFrame([(r["bundle"], p) for r, p in zip(rows, places)], "bundle int, shard int")
+    out = narrow.join(F.broadcast(named), "bundle").drop("bundle")  # at most BUNDLES rows of two numbers
     out = ranked(out, ["shard"], "_id", "slot", int(spark.conf.get("spark.sql.shuffle.partitions")))
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
