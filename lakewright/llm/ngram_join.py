@@ -6,7 +6,8 @@
 
 Links are wanted up to reachability, so pairs of one component need no check: each list's hub is compared first
 (``setjoin.hub_pairs``); after the components of these links are known, every pair of list members that still lie in
-different components is compared, but for the hub's pairs, which are known. No link between different components is lost, and near copies of one text do not
+different components is compared, but for the hub's pairs, which are known. Sketches (``setjoin.alike``) rule out most of
+these before whole sets are fetched. No link between different components is lost, and near copies of one text do not
 meet all with all.
 """
 
@@ -37,18 +38,18 @@ def _sets(docs: DataFrame, size: int, schema: str, finish) -> DataFrame:
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, p1, p2, prefix): set size, 128 bits that stand for the set, and its rarest elements."""
+    """(doc_id, n, p1, p2, sketch, prefix): set size, 128 bits that stand for the set, its sketch and rarest elements."""
     counts = docs.sparkSession.sparkContext.broadcast(S.rarity(docs, size))
 
     def finish(ids, sets):
         prints = np.array([W.set_print(s) for s in sets], np.int64).reshape(-1, 2)
         columns = [
             ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]),
-            S.lists([S.prefix(s, counts.value, percent) for s in sets]),
+            S.lists([S.sketch(s).view(np.uint64) for s in sets]), S.lists([S.prefix(s, counts.value, percent) for s in sets]),
         ]
-        return columns, ["doc_id", "n", "p1", "p2", "prefix"]
+        return columns, ["doc_id", "n", "p1", "p2", "sketch", "prefix"]
 
-    return _sets(docs, size, "doc_id long, n long, p1 long, p2 long, prefix array<long>", finish)
+    return _sets(docs, size, "doc_id long, n long, p1 long, p2 long, sketch array<long>, prefix array<long>", finish)
 
 
 def _members(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -71,22 +72,21 @@ def linked_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     Null, empty and wordless texts have an empty set, link with nothing and are their own component. Repeated rows come
     back as often as they come in. Rows without doc_id keep their size, link with nothing and have a null component.
     """
-    sig = store(signatures(docs, size, percent), "signatures")
+    mark = F.struct("n", F.xxhash64("prefix"), F.hash("prefix"))
+    sig = store(signatures(docs, size, percent).withColumn("mark", mark), "signatures")
     known = sig.where("doc_id is not null and n > 0")
-    classes = store(known.groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("id")), "classes")
+    # mark and sketch follow from the set, so they may stand among the keys
+    classes = store(known.groupBy("p1", "p2", "n", "mark", "sketch").agg(F.min("doc_id").alias("id")), "classes")
 
-    keyed = known.join(classes.select(F.col("id").alias("doc_id"), F.col("p1").alias("q1"), F.col("p2").alias("q2")), "doc_id")
-    keyed = keyed.where("p1 = q1 and p2 = q2").select(F.col("doc_id").alias("id"), "n", "prefix").dropDuplicates(["id", "n"])
-    mark = F.struct("n", F.xxhash64("prefix"), F.hash("prefix"))
-    keyed = store(keyed.withColumn("mark", mark).select("id", "n", "mark", "prefix"), "keyed")
-    groups = keyed.groupBy("mark").agg(F.min("id").alias("group"), F.count("*").alias("members"))
-    groups = store(groups, "groups")
-    of_group = keyed.select("id", "mark").join(groups, "mark").where("members > 1").select("group", "id", "members")
-    of_group = store(of_group, "members")
+    groups = store(classes.groupBy("mark").agg(F.min("id").alias("group"), F.count("*").alias("members")), "groups")
+    of_group = classes.select("id", "mark").join(groups.where("members > 1"), "mark").select("group", "id")
+    of_group = store(of_group.distinct(), "members")
 
-    rep = keyed.join(groups.select(F.col("group").alias("id"), "members"), "id")
-    entries = rep.select("id", "n", "members", F.size("prefix").alias("plen"), F.posexplode("prefix").alias("pos", "token"))
-    entries = store(S.shared(entries), "entries")
+    chosen = groups.select(F.col("group").alias("id"), F.col("mark").alias("_mark"), F.least("members", F.lit(2)).alias("members"))
+    rep = known.select(F.col("doc_id").alias("id"), "mark", "n", "prefix").join(chosen, "id").where("mark = _mark")
+    rep = rep.select("id", "n", "members", "prefix").dropDuplicates(["id", "n"])
+    entries = S.shared(rep.select("id", "n", "members", F.posexplode("prefix").alias("pos", "token"))).drop("members")
+    entries = store(entries.withColumn("plen", S.prefix_size(F.col("n"), percent)), "entries")
 
     hubs = store(S.hubs(entries), "hubs")
     pairs = S.hub_pairs(entries, hubs, percent)  # group pairs, expanded: the hub's first class against all of the other group
@@ -104,10 +104,13 @@ def linked_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     wide = wide.join(parts, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id"))
     wide = store(wide.select("token", F.struct("id", "n", "pos", "part").alias("own")), "wide")
     mixed = wide.groupBy("token").agg(F.min("own.part").alias("lo"), F.max("own.part").alias("hi")).where("lo != hi")
-    wide = store(wide.join(mixed.select("token"), "token", "left_semi"), "mixed")
+    wide = wide.join(mixed.select("token"), "token", "left_semi").select("token", "own.*")
+    wide = wide.join(classes.select("id", "n", "sketch"), ["id", "n"])
+    wide = store(wide.select("token", F.struct("id", "n", "pos", "part", "sketch").alias("own")), "mixed")
     left, right = wide.withColumnRenamed("own", "x"), wide.withColumnRenamed("own", "y")
     open_pairs = left.join(right, "token").where(
         (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & S.fits("x", "y", percent)
+        & S.alike(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), percent)
     )
     open_pairs = open_pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     either = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -56,6 +56,30 @@ def prefix(values: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     return values[np.lexsort((values, counts[bucket(values)]))[:keep]]
 
 
+def prefix_size(n: Column, percent: int) -> Column:
+    """How many elements ``prefix`` takes of a set of ``n``."""
+    return (n - F.ceil(percent * n / F.lit(100)) + 1).cast("int")
+
+
+SKETCH = 512  #: bits of a set's sketch
+
+
+def sketch(values: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of elements in ``SKETCH`` hash buckets, as signed 64-bit words.
+
+    An element that only one of two sets has turns one bit, so sketches that differ in ``d`` bits belong to sets that
+    differ in ``d`` elements or more.
+    """
+    at = (W.mix(values + np.uint64(SKETCH)) % np.uint64(SKETCH)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
+
+
+def alike(n: Column, m: Column, x: Column, y: Column, percent: int) -> Column:
+    """Whether sets of these sizes and sketches may reach the threshold; false only where they surely do not."""
+    apart = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    return enough(n, m, F.shiftright(n + m - apart, 1), percent)
+
+
 def lists(column_values: list[np.ndarray]) -> pa.Array:
     """Arrays of hashes as an Arrow list column of signed numbers."""
     ends = np.concatenate([[0], np.cumsum([len(v) for v in column_values])]).astype(np.int32)

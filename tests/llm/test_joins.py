@@ -175,6 +175,28 @@ def test_empty_table(spark, work):
     assert work(_frame(spark, []).limit(0)).collect() == []
 
 
+def test_sketch_never_rules_out_a_link(spark):
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from lakewright.llm import setjoin
+
+    r, rows = random.Random(5), []
+    for _ in range(300):
+        n = r.choice([1, 2, 7, 40, 200, 900])
+        a = [r.getrandbits(64) for _ in range(n)]
+        b = a[r.randint(0, max(1, n // 4)) :] + [r.getrandbits(64) for _ in range(r.randint(0, n // 8))]
+        common, both = len(set(a) & set(b)), len(set(a) | set(b))
+        rows.append((len(a), len(b), *[setjoin.sketch(np.array(s, np.uint64)).tolist() for s in (a, b)], 100 * common >= 80 * both))
+    rows.append((200, 200, *[setjoin.sketch(np.array([r.getrandbits(64) for _ in range(200)], np.uint64)).tolist() for _ in "ab"], False))
+    df = spark.createDataFrame(rows, "n int, m int, x array<long>, y array<long>, linked boolean")
+    found = df.select("linked", setjoin.alike(F.col("n"), F.col("m"), F.col("x"), F.col("y"), 80).alias("alike")).collect()
+    assert all(f["alike"] for f in found if f["linked"]) and sum(f["linked"] for f in found) > 50
+    assert not found[-1]["alike"]  # unrelated sets are told apart
+
+
 def test_prefix_length():
     import numpy as np
 
