@@ -64,6 +64,17 @@ def _check(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
     return store(S.verified(pairs, _members(docs, ids, size), percent), "links")
 
 
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that sketches do not rule out."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    ends = store(classes.select("id", "n", "sketch").join(small(ids), "id", "left_semi"), "ends")
+    x = ends.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x"))
+    y = ends.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    both = pairs.join(x, "a").join(y, "b")
+    both = both.where(S.alike(F.col("n"), F.col("m"), F.col("x"), F.col("y"), percent))
+    return store(both.select("a", "b").distinct(), "likely")
+
+
 def linked_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text and any other columns).
 
@@ -94,7 +105,7 @@ def linked_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     first = spread.select("a", F.coalesce("c", "b").alias("b"))
     within = of_group.where("id != group").select(F.col("group").alias("a"), F.col("id").alias("b"))
     checked = store(first.union(within).distinct(), "pairs")
-    links = _check(docs, checked, size, percent)
+    links = _check(docs, _likely(checked, classes, percent), size, percent)
     parts = components(links)
 
     # every other pair of members of one list that is still in two components
