@@ -11,17 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold, fold_name, folded_literal
 
-# Themes by table-name prefix and sources by first word of the name.
-THEMES = {
-    "ons_cmo": "precos", "ons_restricao": "restricao", "ons_geracao": "geracao", "ons_balanco": "geracao",
-    "ons_curva": "carga", "ons_intercambio": "intercambio", "ons_programacao": "operacao",
-    "ons_capacidade": "cadastro", "ons_modalidade": "cadastro", "ons_usina": "cadastro",
-    "aneel_tarifas": "precos", "aneel_siga": "cadastro", "clima": "clima", "analytics_corte": "restricao",
-    "analytics_tarifa": "precos", "analytics_frota": "mobilidade", "analytics_octopus": "precos",
-}
-SOURCES = {"ons": "ONS", "aneel": "ANEEL", "ccee": "CCEE", "epe": "EPE", "clima": "ERA5/Open-Meteo",
-           "analytics": "Equipe (análises)"}
-OTHER_THEME = "outros"
+OTHER_THEME = "outros"  # fixed value: theme of a table that no rule names
 
 
 def longest_prefix(name: Column, rules: Mapping[str, str], default: str) -> Column:
@@ -32,7 +22,7 @@ def longest_prefix(name: Column, rules: Mapping[str, str], default: str) -> Colu
     return out
 
 
-def source_of(name: Column, rules: Mapping[str, str] = SOURCES) -> Column:
+def source_of(name: Column, rules: Mapping[str, str]) -> Column:
     first = F.split_part(name, F.lit("_"), F.lit(1))
     out = F.upper(first)
     for word, label in rules.items():
@@ -60,16 +50,20 @@ def entry(df: DataFrame, name: str, time_column: str | None = None, descriptions
         F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(texts.get(f.name, "")).alias("description"))
         for f in df.schema.fields
     ])
-    when = F.date_format(F.col(time_column), "yyyy-MM-dd HH:mm:ss") if time_column else F.lit(None).cast("string")
+    when = F.col(time_column) if time_column else F.lit(None).cast("timestamp_ntz")
+
+    def shown(c: str) -> Column:  # formatted once, not for every row
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+
     return df.agg(
         F.count("*").alias("row_count"), F.min(when).alias("first"), F.max(when).alias("last"),
-    ).select(F.lit(name).alias("name"), F.lit(time_column).cast("string").alias("time_column"), "row_count", "first", "last", columns.alias("columns"))
+    ).select(F.lit(name).alias("name"), F.lit(time_column).cast("string").alias("time_column"), "row_count", shown("first"), shown("last"), columns.alias("columns"))
 
 
 def build(
     entries: Sequence[DataFrame],
-    themes: Mapping[str, str] = THEMES,
-    sources: Mapping[str, str] = SOURCES,
+    themes: Mapping[str, str],
+    sources: Mapping[str, str],
     manual: Mapping[str, str] | None = None,
     generated: Mapping[str, str] | None = None,
 ) -> DataFrame:
@@ -99,11 +93,13 @@ def describe(df: DataFrame, descriptions: Mapping[str, str]) -> DataFrame:
     aggs, rows = [], []
     for i, f in enumerate(df.schema.fields):
         kind = f.dataType.simpleString()
-        shown = F.date_format(F.col(f.name), "yyyy-MM-dd HH:mm:ss") if kind.startswith("timestamp") else F.col(f.name)
-        aggs += [F.count(f.name).alias(f"n{i}"), F.min(shown).cast("string").alias(f"a{i}"), F.max(shown).cast("string").alias(f"z{i}")]
+        aggs += [F.count(f.name).alias(f"n{i}"), F.min(f.name).alias(f"a{i}"), F.max(f.name).alias(f"z{i}")]
+        low, high = (
+            F.date_format(c, "yyyy-MM-dd HH:mm:ss") if kind.startswith("timestamp") else F.col(c).cast("string") for c in (f"a{i}", f"z{i}")
+        )
         rows.append(F.struct(
             F.lit(f.name).alias("column"), F.lit(kind).alias("type"), F.lit(descriptions.get(f.name, "")).alias("description"),
-            F.col(f"n{i}").alias("filled"), F.col(f"a{i}").alias("lowest"), F.col(f"z{i}").alias("highest"),
+            F.col(f"n{i}").alias("filled"), low.alias("lowest"), high.alias("highest"),
         ))
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
 

@@ -36,11 +36,11 @@ def monthly_mart(fact: DataFrame, ts: str, dims: Sequence[str], plant: str, gene
 
 def element_mart(fact: DataFrame, element: str, ts: str, plant: str) -> DataFrame:
     """First and last restricted slot, active days, plants and energy cut per limiting element."""
-    shown = F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
-    return fact.filter("restricted").groupBy(element).agg(
-        F.min(shown).alias("first"), F.max(shown).alias("last"), F.count_distinct(F.to_date(ts)).alias("active_days"),
+    totals = fact.filter("restricted").groupBy(element).agg(
+        F.min(ts).alias("first"), F.max(ts).alias("last"), F.count_distinct(F.to_date(ts)).alias("active_days"),
         F.count_distinct(plant).alias("plants"), F.round(F.sum("cut_mwh"), 6).alias("mwh_cut"),
     )
+    return totals.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first", "last")})
 
 
 def noise_floor(fact: DataFrame, keys: Sequence[str], generated: str, reference: str, hours: float = 0.5) -> DataFrame:

@@ -17,12 +17,12 @@ def _orders(spark, folder):
     return table(spark, folder, "orders")
 
 
-def number_texts(spark, folder):
-    """Order prices written the way different files write them."""
+def number_text():
+    """Price of an order written the way different files write it."""
     price, kind = F.col("o_totalprice"), F.col("o_orderpriority")
     comma = parse.format_comma(price, 2)
     plain = F.replace(comma, F.lit("."), F.lit(""))
-    text = (
+    return (
         F.when(kind == "1-URGENT", comma)
         .when(kind == "2-HIGH", plain)
         .when(kind == "3-MEDIUM", F.concat(F.lit("  "), F.replace(plain, F.lit(","), F.lit(".")), F.lit(" ")))
@@ -30,7 +30,10 @@ def number_texts(spark, folder):
         .when((kind == "5-LOW") & (F.col("o_orderstatus") == "O"), F.lit("n/d"))
         .otherwise(F.concat(F.replace(plain, F.lit(","), F.lit(".")), F.lit("f")))
     )
-    return _orders(spark, folder).select("o_orderkey", text.alias("txt"))
+
+
+def number_texts(spark, folder):
+    return _orders(spark, folder).select("o_orderkey", number_text().alias("txt"))
 
 
 NUMBER_SQL = """
@@ -88,7 +91,10 @@ def time_texts(spark, folder):
         .when(state == "F", F.lit("31/02/2024"))
         .otherwise(F.lit(" "))
     )
-    return _orders(spark, folder).select("o_orderkey", text.alias("txt"))
+
+
+def number_texts(spark, folder):
+    return _orders(spark, folder).select("o_orderkey", number_text().alias("txt"))
 
 
 @query("ts_parse_multi", """
@@ -202,8 +208,8 @@ SELECT name, count(*) AS filled, count(*) FILTER (WHERE tm IS NULL) AS bad_times
 FROM p GROUP BY name
 """)
 def probe_columns(spark, folder):
-    wide = number_texts(spark, folder).join(_orders(spark, folder), "o_orderkey").select(
-        F.col("txt").alias("mixed"), parse.format_comma(F.col("o_totalprice"), 2).alias("price"),
+    wide = _orders(spark, folder).select(
+        number_text().alias("mixed"), parse.format_comma(F.col("o_totalprice"), 2).alias("price"),
         F.date_format("o_orderdate", "dd/MM/yyyy").alias("dat_order"), F.col("o_orderstatus").alias("status"),
     )
     names = wide.columns

@@ -77,7 +77,9 @@ def test_longest_prefix(spark):
     from lakewright.operators import catalog as cat
 
     df = spark.createDataFrame([("analytics_corte_usina",), ("analytics_consumo_rj",), ("ons_cmo_x",)], "n string")
-    got = [tuple(r) for r in df.select(cat.longest_prefix(F.col("n"), cat.THEMES, cat.OTHER_THEME), cat.source_of(F.col("n"))).collect()]
+    themes = {"ons": "operacao", "ons_cmo": "precos", "analytics_corte": "restricao"}
+    sources = {"ons": "ONS", "analytics": "Equipe (análises)"}
+    got = [tuple(r) for r in df.select(cat.longest_prefix(F.col("n"), themes, cat.OTHER_THEME), cat.source_of(F.col("n"), sources)).collect()]
     assert got == [("restricao", "Equipe (análises)"), ("outros", "Equipe (análises)"), ("precos", "ONS")]
 
 
