@@ -27,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines equal or similar to an earlier line go; documents stay, also with no text left."""
-    return _measured(line_dedup.dedup_lines(docs, least=1))
+    return _measured(line_dedup.dedup_lines(docs, size=1, least=1))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Lines that repeat an earlier line, exactly or nearly, found by an exact set-similarity join and removed.
 
-A line's set holds the hashes of its five-word shingles, as near-duplicate operators here take them by default; single
-words would make lists that grow with the corpus. Elements are ordered by rarity; the prefix, positional and length
-filters choose candidates; the Jaccard similarity of whole sets decides (``setjoin``).
+A line's set holds the hashes of its words (``size=1``, as the query and the pipeline take it) or of its shingles.
+Elements are ordered by rarity; the prefix, positional and length filters and sketches choose candidates inside the list
+join, so that lists of usual words make few pairs; the Jaccard similarity of whole sets decides (``setjoin``).
 
 Equal sets are one class, whose place is its first line. A line goes if an earlier line has an equal or similar set,
 whether that line itself stays or not, so the result does not depend on an order of work.
@@ -10,9 +10,11 @@ whether that line itself stays or not, so the result does not depend on an order
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import setjoin as S
@@ -26,7 +28,7 @@ def line_offsets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _lines(part: pa.RecordBatch, size: int, least: int):
-    """(row, line, set) for every line with ``least`` words or more."""
+    """Row and number of every line with a word and ``least`` words or more, and their sets end to end with borders."""
     data, offsets = W.text_bytes(part.column("text"))
     cuts = line_offsets(data, offsets)
     _, _, hashes, first = W.words(data, cuts)
@@ -34,17 +36,25 @@ def _lines(part: pa.RecordBatch, size: int, least: int):
     newlines = np.concatenate([[0], np.cumsum(data == 10)])[offsets]  # newlines before each row
     row = np.repeat(np.arange(part.num_rows), np.diff(newlines) + 1)
     number = np.arange(len(row)) - (newlines[:-1] + np.arange(part.num_rows))[row]
-    for k in np.flatnonzero(np.diff(first) >= least):
-        yield int(row[k]), int(number[k]), np.unique(grams[border[k] : border[k + 1]])
+    wanted = np.diff(first) >= max(least, 1)
+    line = np.repeat(np.arange(len(wanted)), np.diff(border))
+    order = np.lexsort((grams, line))
+    grams, line = grams[order], line[order]
+    new = wanted[line]
+    new[1:] &= (grams[1:] != grams[:-1]) | (line[1:] != line[:-1])
+    grams, line, k = grams[new], line[new], np.flatnonzero(wanted)
+    return row[k], number[k], grams, np.searchsorted(line, np.append(k, len(wanted)))
 
 
 def _line_sets(docs: DataFrame, size: int, least: int, schema: str, finish) -> DataFrame:
+    names = [x.split()[0] for x in schema.split(", ")]
+
     def run(batches):
         for batch in batches:
             for part in W.slices(batch):
-                found = list(_lines(part, size, least))
-                ids = part.column("doc_id").take(pa.array([r for r, _, _ in found], pa.int64()))
-                yield pa.RecordBatch.from_arrays(*finish(ids, pa.array([n for _, n, _ in found], pa.int32()), [s for *_, s in found]))
+                row, number, grams, border = _lines(part, size, least)
+                ids = part.column("doc_id").take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(number, pa.int32()), *finish(grams, border)], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -57,9 +67,10 @@ def _check(docs: DataFrame, pairs: DataFrame, places: DataFrame, size: int, leas
     wanted = docs.join(of, F.col("doc_id") == F.col("_doc"), "left_semi")
     sets = _line_sets(
         wanted, size, least, "doc_id long, line int, items array<long>",
-        lambda docs, lines, sets: ([docs, lines, S.lists(sets)], ["doc_id", "line", "items"]),
+        lambda grams, border: [pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), pa.array(grams.view(np.int64)))],
     )
-    return store(S.verified(pairs, sets.join(small(ids), ["doc_id", "line"]).select("id", "items"), percent), "links")
+    sets = sets.join(small(ids), ["doc_id", "line"]).select("id", "items").dropDuplicates(["id"])  # rows of one doc_id may repeat
+    return store(S.verified(pairs, sets, percent), "links")
 
 
 def repeated_lines(docs: DataFrame, size: int = 5, percent: int = 80, least: int = 5) -> DataFrame:
@@ -71,15 +82,16 @@ def repeated_lines(docs: DataFrame, size: int = 5, percent: int = 80, least: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     counts = docs.sparkSession.sparkContext.broadcast(S.rarity(docs, size, line_offsets))
 
-    def finish(ids, lines, sets):
-        prints = np.array([W.set_print(s) for s in sets], np.int64).reshape(-1, 2)
-        columns = [
-            ids, lines, pa.array([len(s) for s in sets], pa.int32()), pa.array(prints[:, 0]), pa.array(prints[:, 1]),
-            S.lists([S.prefix(s, counts.value, percent) for s in sets]),
+    def finish(grams, border):
+        prints = [np.zeros(0, np.uint64)] * 2
+        if len(grams):
+            prints = [np.bitwise_xor.reduceat(W.mix(grams + np.uint64(W._BASES[0])), border[:-1]), np.add.reduceat(W.mix(grams + np.uint64(W._BASES[1])), border[:-1])]
+        return [
+            pa.array(np.diff(border), pa.int32()), *[pa.array(p.view(np.int64)) for p in prints],
+            S.flat_prefixes(grams, border, counts.value, percent), S.flat_sketches(grams, border),
         ]
-        return columns, ["doc_id", "line", "n", "p1", "p2", "prefix"]
 
-    schema = "doc_id long, line int, n int, p1 long, p2 long, prefix array<long>"
+    schema = "doc_id long, line int, n int, p1 long, p2 long, prefix array<long>, sketch array<long>"
     sig = _line_sets(docs, size, least, schema, finish)
     sig = store(sig.withColumn("id", F.monotonically_increasing_id()), "line-signatures")  # ids are as stored
     narrow = sig.select("doc_id", "line", "p1", "p2", "n", "id")
@@ -87,31 +99,39 @@ def repeated_lines(docs: DataFrame, size: int = 5, percent: int = 80, least: int
     classes = store(classes.select("p1", "p2", "n", F.col("first.id").alias("id"), F.struct("first.doc_id", "first.line").alias("at")), "classes")
     places = classes.select("id", "at.doc_id", "at.line")
 
-    reps = sig.select("id", "n", "prefix").join(classes.select("id"), "id", "left_semi")
-    entries = reps.select("id", "n", F.lit(1).alias("members"), F.size("prefix").alias("plen"), F.posexplode("prefix").alias("pos", "token"))
-    entries = store(S.shared(entries), "entries")
-
-    # hubs first: the later line of a verified pair goes
-    hubs = store(S.hubs(entries), "hubs")
-    pairs = store(S.hub_pairs(entries, hubs, percent), "pairs")
+    # where not even one more element may stand in a similar set, only equal sets are similar
+    reps = sig.where(100 * F.col("n") >= percent * (F.col("n") + 1)).join(classes.select("id"), "id", "left_semi")
+    reps = store(reps.select("id", "doc_id", "line", "n", "sketch", "prefix"), "sets")
+    entries = reps.select("id", "doc_id", "line", "n", "sketch", F.posexplode("prefix").alias("pos", "token"))
+    entry = F.struct("doc_id", "line", "id", "n", "pos", "sketch")
+
+    def may(x, y):
+        one, other = F.col(f"{x}.n"), F.col(f"{y}.n")
+        return S.fits(x, y, percent) & S.flat_alike(one, other, F.col(f"{x}.sketch"), F.col(f"{y}.sketch"), percent)
+
+    # the first line of each list and size first: lines like it go
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))
+    hub = F.min(entry).over(Window.partitionBy("token", "band"))
+    pairs = entries.withColumn("band", band).withColumn("hub", hub).withColumn("own", entry)
+    pairs = pairs.where((F.col("hub.id") != F.col("id")) & may("hub", "own"))
+    pairs = store(pairs.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = _check(docs, pairs, places, size, least, percent)
-    at = classes.select("id", "at")
-    placed = links.join(at.select(F.col("id").alias("a"), F.col("at").alias("x")), "a")
-    placed = placed.join(at.select(F.col("id").alias("b"), F.col("at").alias("y")), "b")
-    gone = store(placed.select(F.when(F.col("x") > F.col("y"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct(), "gone")
-
-    # then every line that is still there against all earlier ones in its lists; the hubs' pairs are known
-    wide = entries.select("token", "id", "n", "pos").join(hubs, "token").where("id != hub.id").drop("hub").join(at, "id")
-    wide = wide.join(gone.select(F.col("id").alias("_gone")), F.col("id") == F.col("_gone"), "left")
-    wide = wide.select("token", F.col("_gone").isNull().alias("here"), F.struct("at", "id", "n", "pos").alias("own"))
-    wide = store(wide, "wide")
-    # `at` of the last line still there must lie behind the first of the list
-    span = wide.groupBy("token").agg(F.min("own.at").alias("lo"), F.max(F.when(F.col("here"), F.col("own.at"))).alias("hi"))
-    wide = store(wide.join(span.where("lo < hi").select("token"), "token", "left_semi"), "mixed")
-    early, late = wide.select("token", F.col("own").alias("x")), wide.where("here").select("token", F.col("own").alias("y"))
-    both = early.join(late, "token").where((F.col("x.at") < F.col("y.at")) & S.fits("x", "y", percent))
-    both = both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    both = both.join(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+    gone = store(links.select(F.col("b").alias("id")).distinct(), "gone")
+
+    # then every line that is still there against all earlier ones in its lists; the pairs above are known
+    rest = store(reps.join(small(gone), "id", "left_anti"), "rest")
+
+    def later(fit, words, extra):
+        early, late = S.listed(reps.where(fit), words).alias("x"), S.listed(rest.where(fit), words).alias("y")
+        same, before = F.col("x.doc_id") == F.col("y.doc_id"), F.col("x.line") < F.col("y.line")
+        both = early.join(late, F.col("x.token") == F.col("y.token"))
+        both = both.where(S.near("x", "y", words, percent) & ((F.col("x.doc_id") < F.col("y.doc_id")) | (same & before)) & extra)
+        return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+    part = S.NARROW // 64
+    short = later(percent * F.col("n") <= 100 * S.NARROW, range(part), F.least("x.n", "y.n") <= S.NARROW)
+    long = later(F.col("n") > S.NARROW, range(part, part + S.SKETCH // 64), F.lit(True))
+    both = short.union(long).distinct().join(pairs, ["a", "b"], "left_anti")
     more = _check(docs, store(both, "open"), places, size, least, percent)
     gone = gone.union(more.select(F.col("b").alias("id"))).distinct()
 

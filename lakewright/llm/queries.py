@@ -50,7 +50,7 @@ def op2(spark, folder):
 
 @query("op3_line_dedup")
 def op3(spark, folder):
-    return line_dedup.dedup_lines(documents(spark, folder), least=1, counts=True).select("doc_id", "n_lines", "n_removed", "text")
+    return line_dedup.dedup_lines(documents(spark, folder), size=1, least=1, counts=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
 @query("op4_hash_forest")

@@ -74,12 +74,56 @@ def sketch(values: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
 
 
-def alike(n: Column, m: Column, x: Column, y: Column, percent: int) -> Column:
+def alike(n: Column, m: Column, x: Column, y: Column, percent: int, words=range(SKETCH // 64)) -> Column:
     """Whether sets of these sizes and sketches may reach the threshold; false only where they surely do not."""
-    apart = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    apart = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in words), F.lit(0))
     return enough(n, m, F.shiftright(n + m - apart, 1), percent)
 
 
+NARROW = 128  #: bits of the sketch of every entry of a list; sets with more elements than that carry ``SKETCH`` bits behind
+
+
+def flat_sketches(values: np.ndarray, border: np.ndarray) -> pa.Array:
+    """For each of many sets, laid end to end, its narrow sketch and, where it is long, the whole one."""
+    at = (W.mix(values + np.uint64(SKETCH)) % np.uint64(SKETCH)).astype(np.int64)
+    sizes = np.diff(border)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+
+    def parities(at, owner, sets, bits):
+        odd = np.bincount(owner * bits + at, minlength=sets * bits) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(sets, bits // 64)
+
+    narrow, long = parities(at % NARROW, owner, len(sizes), NARROW), np.flatnonzero(sizes > NARROW)
+    inside = (sizes > NARROW)[owner]
+    wide = parities(at[inside], np.searchsorted(long, owner[inside]), len(long), SKETCH)
+    counts = np.where(sizes > NARROW, (NARROW + SKETCH) // 64, NARROW // 64)
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    flat = np.empty(ends[-1], np.int64)
+    for i in range(NARROW // 64):
+        flat[ends[:-1] + i] = narrow[:, i]
+    for i in range(SKETCH // 64):
+        flat[ends[long] + NARROW // 64 + i] = wide[:, i]
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+
+
+def flat_alike(n: Column, m: Column, x: Column, y: Column, percent: int) -> Column:
+    """``alike`` for two of ``flat_sketches``; the whole ones count where both sets have one."""
+    part = NARROW // 64
+    whole = alike(n, m, x, y, percent, range(part, part + SKETCH // 64))
+    return alike(n, m, x, y, percent, range(part)) & F.coalesce(whole, F.lit(True))
+
+
+def flat_prefixes(values: np.ndarray, border: np.ndarray, counts: np.ndarray, percent: int) -> pa.Array:
+    """``prefix`` of each of many sets, laid end to end."""
+    sizes = np.diff(border)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    ordered = values[np.lexsort((values, counts[bucket(values)], owner))]
+    keep = sizes + (-percent * sizes) // 100 + 1
+    ends = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
+    inside = np.arange(len(values)) - border[owner] < keep[owner]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(ordered[inside].view(np.int64)))
+
+
 def lists(column_values: list[np.ndarray]) -> pa.Array:
     """Arrays of hashes as an Arrow list column of signed numbers."""
     ends = np.concatenate([[0], np.cumsum([len(v) for v in column_values])]).astype(np.int32)
@@ -109,6 +153,24 @@ def shared(entries: DataFrame) -> DataFrame:
     return entries.withColumn("_total", total).where("_total > 1").drop("_total")
 
 
+def listed(sets: DataFrame, words: range) -> DataFrame:
+    """Entries of ``sets`` (id, doc_id, line, n, sketch, prefix): token, rest (elements from here on) and sketch words.
+
+    The words are plain columns: array access makes a join condition too long for the JVM to compile.
+    """
+    flat = [F.get("sketch", F.lit(k)).alias(f"s{i}") for i, k in enumerate(words)]
+    one = sets.select("id", "doc_id", "line", "n", *flat, F.posexplode("prefix").alias("pos", "token"))
+    return one.withColumn("rest", (F.col("n") - F.col("pos")).cast("int")).drop("pos")
+
+
+def near(x: str, y: str, words: range, percent: int) -> Column:
+    """Length and positional filter and sketches, for the entries ``x`` and ``y`` of one list of ``listed``."""
+    both = F.col(f"{x}.n") + F.col(f"{y}.n")
+    apart = sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(1, len(words))), F.bit_count(F.col(f"{x}.s0").bitwiseXOR(F.col(f"{y}.s0"))))
+    common = F.least(F.col(f"{x}.rest"), F.col(f"{y}.rest"), F.shiftright(both - apart, 1))
+    return (100 + percent) * common >= percent * both
+
+
 def hubs(entries: DataFrame) -> DataFrame:
     """(token, hub): for every list of ``shared`` entries its hub, a struct (id, n, pos).
 

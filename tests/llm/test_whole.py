@@ -19,3 +19,34 @@ def test_short_lines_go_too(spark, tmp_path):
     assert {r.doc_id: r.n_removed for r in found} == {1: 0, 2: 2, 3: 2}
     stage = dict(corpus_pipeline.STAGES)["line dedup"]
     assert {r.doc_id: r.text for r in stage(spark, _frame(spark, rows), None).collect()} == wanted
+
+
+def test_lines_with_one_changed_word_go(spark, tmp_path):
+    line = " ".join(f"w{i}" for i in range(20))
+    rows = _lines() + [(970, line), (971, "start\n" + line.replace("w10", "other") + "\nw1 w2 w3 w4"), (972, "w4 w3 w2 w1 w5")]
+    found = {r.doc_id: r.text for r in QUERIES["op3_line_dedup"](spark, _table(spark, rows, tmp_path)).collect()}
+    lines = [(i, k, x) for i, t in rows if i is not None and t is not None for k, x in enumerate(t.split("\n"))]
+    lines.sort(key=lambda x: x[:2])
+    sets = [_set(x, 1) for *_, x in lines]
+    gone = {lines[a][:2] for a in range(len(lines)) for b in range(a) if _similar(sets[a], sets[b], 80)}
+    assert {(971, 1), (972, 0)} <= gone and (971, 2) not in gone
+    for i, t in rows:
+        kept = t if i is None or t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)
+        assert found[i] == kept, i
+
+
+def test_flat_sketches_and_prefixes():
+    import numpy as np
+
+    from lakewright.llm import setjoin
+
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 2**64, n, dtype=np.uint64)) for n in (1, 3, 128, 129, 700, 20)]
+    border, counts = np.concatenate([[0], np.cumsum([len(s) for s in sets])]), r.integers(0, 9, setjoin.BUCKETS)
+    found = setjoin.flat_sketches(np.concatenate(sets), border).to_pylist()
+    prefixes = setjoin.flat_prefixes(np.concatenate(sets), border, counts, 80).to_pylist()
+    for s, got, prefix in zip(sets, found, prefixes):
+        whole = setjoin.sketch(s)
+        assert got[:2] == np.bitwise_xor.reduce(whole.reshape(-1, 2), axis=0).tolist()
+        assert got[2:] == (whole.tolist() if len(s) > 128 else [])
+        assert prefix == setjoin.prefix(s, counts, 80).view(np.int64).tolist()
