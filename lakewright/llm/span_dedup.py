@@ -3,7 +3,8 @@
 A sentence ends behind ``.``, ``!`` or ``?`` before white space, and at a newline; one of more than ``PIECE`` words is
 cut every ``PIECE`` words, so that text without stops has sentences too. From every sentence the shortest run with
 ``least_sentences`` sentences and ``least_words`` words is hashed (128 bits over lower-cased words) and all runs of all
-documents are joined by hash. The first place of a run, by doc_id and sentence, stays; sentences that any other place
+documents are joined by hash. With ``ends``, so is the shortest such run that ends at every sentence; the two cover every
+longer repeated run whole, where the runs from its sentences alone leave a tail of few words. The first place of a run, by doc_id and sentence, stays; sentences that any other place
 covers go.
 """
 
@@ -41,22 +42,29 @@ def _sentences(part: pa.RecordBatch):
     return data, offsets, hashes, word, at, np.searchsorted(at, offsets)
 
 
-def _runs(words: int, word: np.ndarray, border: np.ndarray, least_sentences: int, least_words: int):
-    """Start and end sentence of the shortest run from each sentence that is long enough inside its row."""
+def _runs(words: int, word: np.ndarray, border: np.ndarray, least_sentences: int, least_words: int, ends: bool):
+    """Start and end sentence of the shortest run from (with ``ends``, and to) each sentence that is long enough inside its row."""
     edge = np.append(word, words)
     i = np.arange(len(word))
     j = np.maximum(i + least_sentences, np.searchsorted(edge, edge[:-1] + least_words))
     last = np.repeat(border[1:], np.diff(border))
     good = j <= last
-    return i[good], j[good], edge
+    i, j = i[good], j[good]
+    if ends:
+        back = np.arange(1, len(word) + 1)  # end sentences
+        start = np.minimum(back - least_sentences, np.searchsorted(edge, edge[back] - least_words, "right") - 1)
+        good = start >= np.repeat(border[:-1], np.diff(border))
+        both = np.unique(np.concatenate([i * (len(word) + 1) + j, start[good] * (len(word) + 1) + back[good]]))
+        i, j = both // (len(word) + 1), both % (len(word) + 1)
+    return i, j, edge
 
 
-def _spans(docs: DataFrame, least_sentences: int, least_words: int) -> DataFrame:
+def _spans(docs: DataFrame, least_sentences: int, least_words: int, ends: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in W.slices(batch):
                 _, _, hashes, word, _, border = _sentences(part)
-                i, j, edge = _runs(len(hashes), word, border, least_sentences, least_words)
+                i, j, edge = _runs(len(hashes), word, border, least_sentences, least_words, ends)
                 row = np.searchsorted(border, i, "right") - 1
                 columns = [
                     pa.array(W.run_hash(hashes, edge[i], edge[j], s).view(np.int64)) for s in (0, 1)
@@ -66,13 +74,13 @@ def _spans(docs: DataFrame, least_sentences: int, least_words: int) -> DataFrame
     return docs.mapInArrow(run, "h1 long, h2 long, doc_id long, s int, k int")
 
 
-def repeated_spans(docs: DataFrame, least_sentences: int = 2, least_words: int = 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, least_sentences: int = 2, least_words: int = 20, ends: bool = False) -> DataFrame:
     """(doc_id, lo, hi): disjoint ranges of sentences, lo counted from 0, hi not included, that repeat an earlier place.
 
     Rows without doc_id or text take no part. Repeated rows of one doc_id stand at the same place and keep their text.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    spans = _spans(docs, least_sentences, least_words)
+    spans = _spans(docs, least_sentences, least_words, ends)
     first = spans.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "s")).alias("first"), F.count("*").alias("c"))
     first = store(first.where("c > 1").select("h1", "h2", "first"), "firsts")  # a plain table, so that a hot hash's spans can be split
     again = spans.join(first, ["h1", "h2"])
@@ -85,12 +93,12 @@ def repeated_spans(docs: DataFrame, least_sentences: int = 2, least_words: int =
     return marked.groupBy("doc_id", "_part").agg(F.min("s").alias("lo"), F.max("e").alias("hi")).drop("_part")
 
 
-def dedup_spans(docs: DataFrame, least_sentences: int = 2, least_words: int = 20, counts: bool = False) -> DataFrame:
+def dedup_spans(docs: DataFrame, least_sentences: int = 2, least_words: int = 20, counts: bool = False, ends: bool = False) -> DataFrame:
     """``docs`` with its columns and without the sentences of ``repeated_spans``; a sentence goes with the space behind it.
 
     Every row stays, also when no sentence is left (empty text). With ``counts``, adds n_removed, the sentences taken out.
     """
-    ranges = repeated_spans(docs, least_sentences, least_words)
+    ranges = repeated_spans(docs, least_sentences, least_words, ends)
     ranges = store(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("r")), "ranges")
     weight = ranges.agg(F.sum(F.size("r"))).first()[0] or 0
     key, cut, gone = fresh(docs, "_doc"), fresh(docs, "_ranges"), fresh(docs, "n_removed")

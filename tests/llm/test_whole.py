@@ -3,7 +3,7 @@
 import corpus_pipeline
 from lakewright.llm import line_dedup
 from lakewright.llm.queries import QUERIES
-from test_joins import EDGES, _frame, _lines, _set, _similar
+from test_joins import WORD, _frame, _lines, _sentences, _set, _similar
 
 
 def _table(spark, rows, tmp_path):
@@ -50,3 +50,41 @@ def test_flat_sketches_and_prefixes():
         assert got[:2] == np.bitwise_xor.reduce(whole.reshape(-1, 2), axis=0).tolist()
         assert got[2:] == (whole.tolist() if len(s) > 128 else [])
         assert prefix == setjoin.prefix(s, counts, 80).view(np.int64).tolist()
+
+
+def _all_runs(rows):
+    """Sentences that any run of 2 or more sentences and 20 or more words repeats from an earlier place."""
+    first, places = {}, []
+    for i, t in sorted(rows):
+        s = [tuple(w) for _, w in _sentences(t)]
+        for a in range(len(s)):
+            for b in range(a + 2, len(s) + 1):
+                if sum(map(len, s[a:b])) >= 20:
+                    places.append((first.setdefault(tuple(s[a:b]), (i, a)), i, a, b))
+    return {(i, k) for at, i, a, b in places if at != (i, a) for k in range(a, b)}
+
+
+def test_passages_go_whole(spark, tmp_path):
+    import random
+
+    r = random.Random(11)
+    say = lambda k: " ".join("".join(r.choice(WORD) for _ in range(5)) for _ in range(k)) + "."
+    rows = [(1, " ".join(tail := [say(19), say(6), say(6)])), (2, " ".join([say(9), *tail, say(7)])), (3, " ".join([say(4), say(9)]))]
+    shared = [[say(r.choice([1, 2, 5, 9, 19])) for _ in range(r.randint(2, 9))] for _ in range(6)]
+    for i in range(4, 30):
+        parts = [say(r.choice([1, 3, 8, 14])) for _ in range(r.randint(1, 6))]
+        for _ in range(r.randint(0, 3)):
+            k = r.randint(0, len(parts))
+            parts[k:k] = r.choice(shared)
+        rows.append((i, " ".join(parts)))
+    gone = _all_runs(rows)
+    assert {k for i, k in gone if i == 2} == {1, 2, 3} and len(gone) > 40
+    folder = _table(spark, rows, tmp_path)
+    found = {x.doc_id: x for x in QUERIES["op5_span_dedup"](spark, folder).collect()}
+    stage = dict(corpus_pipeline.STAGES)["substring dedup"]
+    staged = {x.doc_id: x.text for x in stage(spark, _frame(spark, rows), None).collect()}
+    for i, t in rows:
+        s = _sentences(t)
+        edge = [at for at, _ in s] + [len(t)]
+        kept = "".join(t[edge[k] : edge[k + 1]] for k in range(len(s)) if (i, k) not in gone)
+        assert found[i].text == staged[i] == kept and found[i].n_removed == sum(x[0] == i for x in gone), i
