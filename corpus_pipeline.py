@@ -51,7 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sentences in runs that stand elsewhere before go; documents stay, also with no text left."""
-    return _measured(span_dedup.dedup_spans(docs, ends=True))
+    return _measured(span_dedup.dedup_spans(docs, ends=True, by_content=True))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

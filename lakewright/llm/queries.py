@@ -61,7 +61,7 @@ def op4(spark, folder):
 
 @query("op5_span_dedup")
 def op5(spark, folder):
-    return span_dedup.dedup_spans(documents(spark, folder), counts=True, ends=True).select("doc_id", "n_removed", "text")
+    return span_dedup.dedup_spans(documents(spark, folder), counts=True, ends=True, by_content=True).select("doc_id", "n_removed", "text")
 
 
 @query("op6_bin_slack")

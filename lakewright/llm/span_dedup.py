@@ -1,7 +1,8 @@
 """Passages that repeat across or within documents, found as runs of consecutive sentences and removed.
 
 A sentence ends behind ``.``, ``!`` or ``?`` before white space, and at a newline; one of more than ``PIECE`` words is
-cut every ``PIECE`` words, so that text without stops has sentences too. From every sentence the shortest run with
+cut every ``PIECE`` words, so that text without stops has sentences too, or, with ``by_content``, at places that its words
+choose (``content_cuts``), so that equal passages are cut alike behind any number of other words. From every sentence the shortest run with
 ``least_sentences`` sentences and ``least_words`` words is hashed (128 bits over lower-cased words) and all runs of all
 documents are joined by hash. With ``ends``, so is the shortest such run that ends at every sentence; the two cover every
 longer repeated run whole, where the runs from its sentences alone leave a tail of few words. The first place of a run, by doc_id and sentence, stays; sentences that any other place
@@ -19,9 +20,37 @@ from . import words as W
 from .common import fresh, small, store
 
 PIECE = 20
+REACH = 10  #: words to each side among which a cut's hash is the smallest
+CONTEXT = 3  #: words that make this hash
 
 
-def _sentences(part: pa.RecordBatch):
+def content_cuts(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Words that begin a piece inside sentences of more than ``PIECE`` words; ``first`` has the sentences' first words.
+
+    A cut is behind a word whose hash, over it and the words before it, is the smallest of all up to ``REACH`` words
+    away. All of these lie in the sentence, so a cut follows from the words around it and not from where they stand.
+    Of equal hashes, as in text that repeats itself, the first counts, and the next one that is out of its reach.
+    """
+    n, reach = len(hashes), 2 * REACH + 1
+    if n < reach + CONTEXT or not (np.diff(first) > PIECE).any():
+        return np.zeros(0, np.int64)
+    ends = np.arange(CONTEXT, n + 1)
+    value = np.concatenate([np.zeros(CONTEXT - 1, np.uint64), W.run_hash(hashes, ends - CONTEXT, ends)])
+    low = np.lib.stride_tricks.sliding_window_view(value, reach).min(axis=1)
+    at = np.flatnonzero(value[REACH : n - REACH] == low) + REACH
+    sentence = np.searchsorted(first, at, "right") - 1
+    inside = (at - first[sentence] >= REACH + CONTEXT - 1) & (first[sentence + 1] - at > REACH)
+    at = at[inside & (np.diff(first)[sentence] > PIECE)]
+    if (np.diff(at) <= REACH).any():
+        kept = [-reach]
+        for one in at.tolist():
+            if one - kept[-1] > REACH:
+                kept.append(one)
+        at = np.array(kept[1:], np.int64)
+    return at + 1
+
+
+def _sentences(part: pa.RecordBatch, by_content: bool):
     """Bytes and offsets, word hashes, each sentence's first word and byte, and each row's first sentence."""
     data, offsets = W.text_bytes(part.column("text"))
     n = len(data)
@@ -34,10 +63,13 @@ def _sentences(part: pa.RecordBatch):
     ends[offsets] = True
     starts, _, hashes, first = W.words(data, np.flatnonzero(ends))
     first = np.unique(np.append(first, len(starts)))  # sentences without words go
-    pieces = -(-np.diff(first) // PIECE)
-    border = np.concatenate([[0], np.cumsum(pieces)])
-    row = np.repeat(np.arange(len(pieces)), pieces)
-    word = first[row] + PIECE * (np.arange(border[-1]) - border[row])
+    if by_content:
+        word = np.sort(np.concatenate([first[:-1], content_cuts(hashes, first)]))
+    else:
+        pieces = -(-np.diff(first) // PIECE)
+        border = np.concatenate([[0], np.cumsum(pieces)])
+        row = np.repeat(np.arange(len(pieces)), pieces)
+        word = first[row] + PIECE * (np.arange(border[-1]) - border[row])
     at = starts[word]
     return data, offsets, hashes, word, at, np.searchsorted(at, offsets)
 
@@ -59,11 +91,11 @@ def _runs(words: int, word: np.ndarray, border: np.ndarray, least_sentences: int
     return i, j, edge
 
 
-def _spans(docs: DataFrame, least_sentences: int, least_words: int, ends: bool) -> DataFrame:
+def _spans(docs: DataFrame, least_sentences: int, least_words: int, ends: bool, by_content: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in W.slices(batch):
-                _, _, hashes, word, _, border = _sentences(part)
+                _, _, hashes, word, _, border = _sentences(part, by_content)
                 i, j, edge = _runs(len(hashes), word, border, least_sentences, least_words, ends)
                 row = np.searchsorted(border, i, "right") - 1
                 columns = [
@@ -74,13 +106,13 @@ def _spans(docs: DataFrame, least_sentences: int, least_words: int, ends: bool)
     return docs.mapInArrow(run, "h1 long, h2 long, doc_id long, s int, k int")
 
 
-def repeated_spans(docs: DataFrame, least_sentences: int = 2, least_words: int = 20, ends: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, least_sentences: int = 2, least_words: int = 20, ends: bool = False, by_content: bool = False) -> DataFrame:
     """(doc_id, lo, hi): disjoint ranges of sentences, lo counted from 0, hi not included, that repeat an earlier place.
 
     Rows without doc_id or text take no part. Repeated rows of one doc_id stand at the same place and keep their text.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    spans = _spans(docs, least_sentences, least_words, ends)
+    spans = _spans(docs, least_sentences, least_words, ends, by_content)
     first = spans.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "s")).alias("first"), F.count("*").alias("c"))
     first = store(first.where("c > 1").select("h1", "h2", "first"), "firsts")  # a plain table, so that a hot hash's spans can be split
     again = spans.join(first, ["h1", "h2"])
@@ -93,12 +125,12 @@ def repeated_spans(docs: DataFrame, least_sentences: int = 2, least_words: int =
     return marked.groupBy("doc_id", "_part").agg(F.min("s").alias("lo"), F.max("e").alias("hi")).drop("_part")
 
 
-def dedup_spans(docs: DataFrame, least_sentences: int = 2, least_words: int = 20, counts: bool = False, ends: bool = False) -> DataFrame:
+def dedup_spans(docs: DataFrame, least_sentences: int = 2, least_words: int = 20, counts: bool = False, ends: bool = False, by_content: bool = False) -> DataFrame:
     """``docs`` with its columns and without the sentences of ``repeated_spans``; a sentence goes with the space behind it.
 
     Every row stays, also when no sentence is left (empty text). With ``counts``, adds n_removed, the sentences taken out.
     """
-    ranges = repeated_spans(docs, least_sentences, least_words, ends)
+    ranges = repeated_spans(docs, least_sentences, least_words, ends, by_content)
     ranges = store(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("r")), "ranges")
     weight = ranges.agg(F.sum(F.size("r"))).first()[0] or 0
     key, cut, gone = fresh(docs, "_doc"), fresh(docs, "_ranges"), fresh(docs, "n_removed")
@@ -109,7 +141,7 @@ def dedup_spans(docs: DataFrame, least_sentences: int = 2, least_words: int = 20
     def run(batches):
         for batch in batches:
             for part in W.slices(batch):
-                data, _, _, _, at, border = _sentences(part)
+                data, _, _, _, at, border = _sentences(part, by_content)
                 text, removed = part.column("text").to_pylist(), np.zeros(part.num_rows, np.int32)
                 _, offsets = W.text_bytes(part.column("text"))
                 for r, found in enumerate(part.column(cut).to_pylist()):

@@ -88,3 +88,21 @@ def test_passages_go_whole(spark, tmp_path):
         edge = [at for at, _ in s] + [len(t)]
         kept = "".join(t[edge[k] : edge[k + 1]] for k in range(len(s)) if (i, k) not in gone)
         assert found[i].text == staged[i] == kept and found[i].n_removed == sum(x[0] == i for x in gone), i
+
+
+def test_passages_without_stops_are_cut_alike(spark, tmp_path):
+    import random
+
+    r = random.Random(13)
+    text = lambda k: [f"{r.choice(WORD)}{r.randrange(900)}" for _ in range(k)]
+    passage, again = text(500), ["la", "li", "lu"] * 100
+    rows = [(i, " ".join(text(k) + passage + text(60))) for i, k in enumerate((3, 7, 0, 11, 100, 259))]
+    rows += [(10, " ".join(text(30) + again)), (11, " ".join(text(44) + again)), (12, " ".join(text(400)))]
+    found = {x.doc_id: x.text.split() for x in QUERIES["op5_span_dedup"](spark, _table(spark, rows, tmp_path)).collect()}
+    assert " ".join(found[0]) == rows[0][1] and " ".join(found[12]) == rows[-1][1]
+    for i in range(1, 6):
+        words = rows[i][1].split()
+        lo = len(words) - 560
+        assert len(found[i]) < len(words) - 380
+        assert found[i][:lo] == words[:lo] and found[i][-60:] == words[-60:]
+    assert len(found[11]) < 120
