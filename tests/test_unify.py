@@ -111,7 +111,7 @@ def test_parquet_variants_and_catalogue(spark, tmp_path):
         df.write.parquet(str(tmp_path / f"f{i}"))
     variants = read_parquet_variants(spark, [str(tmp_path / f"f{i}") for i in range(3)])
     assert [v.count() for v in variants] == [7, 2]
-    entries = cat.build([cat.entry(v, f"ons_cmo_{i}") for i, v in enumerate(variants)], manual={"ons_cmo_0": "m"}, generated={"ons_cmo_0": "g", "ons_cmo_1": "h"})
+    entries = cat.build([cat.entry(v, f"ons_cmo_{i}") for i, v in enumerate(variants)], {"ons_cmo": "precos"}, {}, manual={"ons_cmo_0": "m"}, generated={"ons_cmo_0": "g", "ons_cmo_1": "h"})
     sinks.write_catalog(entries, str(tmp_path / "catalog"))
     back = spark.read.json(str(tmp_path / "catalog"))
     assert sorted((r["name"], r.theme, r.row_count, r.description, len(r.columns)) for r in back.collect()) == [
