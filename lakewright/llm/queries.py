@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import hash_forest, host_rules, line_dedup, ngram_join, packing, pieces, rule_ensemble, sharding, simple8b, span_dedup
+from . import hash_forest, host_rules, line_dedup, ngram_join, packing, pieces, repair, rule_ensemble, sharding, simple8b, span_dedup
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def op9(spark, folder):
 @query("op10_differencing")
 def op10(spark, folder):
     return sharding.balanced(documents(spark, folder), shards=16)
+
+
+@query("op11_repair")
+def op11(spark, folder):
+    return repair.damage_report(spark.read.parquet(f"{folder}/conversations.parquet"))
