@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import hash_forest, host_rules, line_dedup, ngram_join, packing, pieces, repair, rule_ensemble, sharding, simple8b, span_dedup
+from . import hash_forest, host_rules, line_dedup, ngram_join, packing, pieces, repair, rule_ensemble, sharding, simple8b, span_dedup, trie
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ def op10(spark, folder):
 @query("op11_repair")
 def op11(spark, folder):
     return repair.damage_report(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+@query("op12_centroid_trie", trie.SQL)
+def op12(spark, folder):
+    return trie.rebuilt_trie(spark.read.parquet(f"{folder}/conversations.parquet"))

@@ -8,7 +8,7 @@ import zlib
 
 import pytest
 
-from lakewright.llm import repair
+from lakewright.llm import repair, trie
 
 SHAPE = re.compile(r"(s?(ua)+)?")
 SPACES = " \t\n\x0b\x0c\r"
@@ -175,3 +175,59 @@ def test_repair_of_nothing(spark):
     gone = next(c for c in range(1000) if zlib.crc32(f"{c}:1".encode()) % 20 == 0)
     row = repair.damage_report(spark.createDataFrame([(gone, 1, "user", "x" * 100_000)], SCHEMA)).first()
     assert tuple(row) == (gone, 0, 0, 0, 0, 0, 0, "", sha(""))
+
+
+def _trie(rows):
+    """Every node of the rebuilt conversations, subtree by subtree."""
+    held = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            held.setdefault(conv, []).append((turn is not None, turn or 0, role, hashlib.md5(text.encode()).digest(), text))
+    own = {c: [(r[2], r[4]) for r in sorted(v)] for c, v in held.items()}
+    made = {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 4
+        base = c - (c % 20 if c >= 0 else -(-c % 20))
+        made[c] = own.get(base, [])[:h] + own[c][h:]
+    nodes = {}
+    for c, seq in made.items():
+        for d in range(len(seq) + 1):
+            nodes.setdefault(tuple(seq[:d]), []).append(c)
+    out = []
+    for key, members in nodes.items():
+        below = [k for k in nodes if k[: len(key)] == key]
+        leaves = sum(not any(len(x) == len(k) + 1 and x[: len(k)] == k for x in nodes) for k in below)
+        saved = sum((len(nodes[k]) - 1) * len(re.findall("[^\x20\x09-\x0d]+", k[-1][1])) for k in below if k)
+        out.append((min(members), len(key), min(nodes[key[:-1]]) if key else None, len(members),
+                    sum(len(k) == len(key) + 1 for k in below), leaves, saved, sha(",".join(str(c) for c in sorted(members) if len(made[c]) == len(key)))))
+    return sorted(out, key=str)
+
+
+def _branching(seed, n):
+    r = random.Random(seed)
+    rows = [(r.choice([c, c, c, -c, None]), r.choice([t, t, None]), r.choice(["user", "assistant", None]), r.choice(["a b", "c", "", None, "d  e f"]))
+            for c in range(n) for t in range(r.choice([1, 1, 3, 6]))]
+    chain = [(c, t, "user", f"w {t if t < 25 else t * c}") for c in (5000, 5021) for t in range(40)]
+    copies = [(c, t, "user", f"hot {t}") for c in range(6000, 6060) for t in range(4)]
+    return rows + chain + copies + rows[:5]
+
+
+@pytest.mark.parametrize("whole", [1, 7, trie.WHOLE])
+def test_trie_equals_brute_force(spark, whole):
+    rows = _branching(3, 90)
+    df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA + ", depth int").repartition(3)
+    assert sorted(map(tuple, trie.rebuilt_trie(df, whole).collect()), key=str) == _trie(rows)
+
+
+def test_trie_of_nothing(spark):
+    assert trie.rebuilt_trie(spark.createDataFrame([], SCHEMA)).collect() == []
+    one = next(c for c in range(1, 99) if c % 20 and zlib.crc32(str(c).encode()) % 4 == 3)
+    row = trie.rebuilt_trie(spark.createDataFrame([(one, 1, "user", "x" * 100_000)], SCHEMA)).collect()
+    assert [tuple(r) for r in row] == [(one, 0, None, 1, 0, 1, 0, sha(str(one)))]
+
+
+def test_centroids_split_a_chain_evenly():
+    chain = list(range(-1, 999))
+    leaves, saved = trie._decompose(chain, [0] * 999 + [1], [1] * 1000)
+    assert leaves == [1] * 1000 and saved == list(range(1000, 0, -1))
