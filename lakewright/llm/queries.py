@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import hash_forest, host_rules, line_dedup, ngram_join, packing, pieces, repair, rule_ensemble, sharding, simple8b, span_dedup, trie
+from . import hash_forest, host_rules, language_id, line_dedup, ngram_join, packing, pieces, repair, rule_ensemble, sharding, simple8b, span_dedup, trie
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,8 @@ def op11(spark, folder):
 @query("op12_centroid_trie", trie.SQL)
 def op12(spark, folder):
     return trie.rebuilt_trie(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+@query("op13_language_id")
+def op13(spark, folder):
+    return language_id.predicted(documents(spark, folder))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..operators.ordered import join_keys, positions
 from .common import crc32, small, store
 
-WHOLE = 1 << 16  #: nodes of a component that one task may finish
+WHOLE = 1 << 11  #: nodes of a component that one task may finish
 NAME = ["k1", "k2"]
 TOP = 3  #: turns at most that are taken from another conversation
 
