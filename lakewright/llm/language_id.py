@@ -26,6 +26,7 @@ WIDTH = 2048  #: hash buckets of n-grams
 LONGEST = 4  #: bytes of the longest n-gram
 PER_LANGUAGE = 1000  #: rows at most of each language that are learned from, those with the smallest hashes of their ids
 ROWS = 512  #: rows whose features are held at a time
+STEPS = 10  #: of each fit; more did not help on held-out rows
 UNKNOWN = "und"
 
 # Families of languages; a language that is not listed is a family of its own.
@@ -139,8 +140,8 @@ def _level(rows: DataFrame, group: str, classes: list[str]) -> Level:
     pairs, weights, bias = list(combinations(range(len(classes)), 2)), [], []
     for a, b in pairs:
         two = rows.where(F.col(group).isin(classes[a], classes[b]))
-        two = two.select((F.col(group) == classes[a]).cast("double").alias("label"), array_to_vector("x").alias("features"))
-        machine = LinearSVC(maxIter=40, regParam=1e-3, standardization=True).fit(two)
+        two = two.select((F.col(group) == classes[a]).cast("double").alias("label"), array_to_vector("x").alias("features")).coalesce(2)  # the sample is bounded and a step is short
+        machine = LinearSVC(maxIter=STEPS, regParam=1e-2, standardization=True).fit(two)
         weights.append(machine.coefficients.toArray())
         bias.append(machine.intercept)
     return Level(classes, pairs, np.array(weights).reshape(len(pairs), WIDTH), np.array(bias))
