@@ -122,8 +122,13 @@ class Model:
 
 def examples(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(lang, x) of at most ``per_language`` rows of every language of ``docs`` (doc_id, text, lang)."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = docs.select("doc_id", "lang").withColumn("_rank", rank).where(F.col("_rank") <= per_language).drop("_rank")
+    # ids' hashes are spread evenly, so of a frequent language only about twice the wanted rows meet to be ranked
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / float(1 << 63)
+    counts = docs.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n"))
+    few = docs.select("doc_id", "lang", place.alias("_place")).join(F.broadcast(counts), F.col("lang") == F.col("_lang"))  # a row for each language
+    few = few.where(F.col("_place") * F.col("_n") < 2 * per_language + 100)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_place", "doc_id"))
+    chosen = few.withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("doc_id", "lang")
     chosen = F.broadcast(store(chosen.distinct(), "learned-ids"))  # at most `per_language` rows of each language
     texts = docs.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"])
 
