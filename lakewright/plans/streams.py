@@ -53,6 +53,29 @@ def stream_dedup(spark, folder):
     return spark.read.parquet(path).select("key", "doc_id")
 
 
+@query("stream_late_events", """
+WITH e AS (SELECT event_id, ts, event_id % 4 AS batch FROM events),
+a AS (SELECT * FROM e UNION ALL SELECT event_id, ts, batch + 1 FROM e WHERE event_id % 5 = 0),
+b AS (SELECT batch, max(ts) AS latest FROM a GROUP BY 1),
+m AS (SELECT batch, max(latest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 12 DAY AS mark FROM b),
+s AS (SELECT event_id, a.batch, coalesce(ts <= mark, false) AS late FROM a JOIN m USING (batch))
+SELECT event_id, count(*) FILTER (WHERE late) AS late, count(DISTINCT CASE WHEN NOT late THEN event_id END) AS kept FROM s GROUP BY 1
+""")
+def stream_late_events(spark, folder):
+    """Events that arrive in five batches, a fifth of them twice; what is more than twelve days behind is kept aside."""
+    events = table(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 4).alias("batch"))
+    again = events.filter("event_id % 5 = 0").withColumn("batch", F.col("batch") + 1)
+    inbox, path = scratch_path(spark, "arrivals"), scratch_path(spark, "in-time")
+    arrivals = events.unionByName(again)
+    for batch in range(5):  # each run takes up what has arrived since the last one
+        arrivals.filter(F.col("batch") == batch).write.mode("append").parquet(inbox)
+        stream = jobs.folder_stream(spark, inbox, arrivals.schema)
+        jobs.distinct_in_time(stream, ["event_id"], "ts", "batch", "12 days", path, f"{path}-checkpoint")
+    late = spark.read.parquet(f"{path}/late").groupBy("event_id").agg(F.count("*").alias("late"))
+    kept = spark.read.parquet(f"{path}/first").groupBy("event_id").agg(F.count("*").alias("kept"))
+    return late.join(kept, "event_id", "full").fillna(0, ["late", "kept"])
+
+
 @query("stream_frequency_subset", """
 WITH s AS (SELECT source, count(*) AS n, substring(source, 4)::INT % 3 AS f FROM documents GROUP BY 1) SELECT source, n FROM s WHERE f = 1 AND source <> 'src4'
 """)

@@ -6,11 +6,13 @@ overwrites its own partition, so nothing is counted twice.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 BATCH = "batch__"
 
@@ -75,32 +77,65 @@ def _read_log(spark: SparkSession, path: str, schema: T.StructType, before: int)
     return log.filter(F.col(BATCH) < before)
 
 
+#: Keyed state lives in RocksDB on the executors, beyond the heap, and is saved with the checkpoint.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """State store settings for queries that are started inside the block."""
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+class LastHash(StatefulProcessor):
+    """Keeps the hash of the last version of a key; emits a row when the last version of a batch has another hash."""
+
+    def __init__(self, key: str, seq: str, keep: Sequence[str]) -> None:
+        self.key, self.seq, self.keep = key, seq, list(keep)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", T.StructType([T.StructField("sha256", T.StringType())]))
+
+    def handleInputRows(self, key, rows, timers) -> Iterator[Row]:
+        def order(row):  # nulls first, then the hash, as a tie's order
+            return row[self.seq] is not None, row[self.seq] if row[self.seq] is not None else 0, row["sha256"] or ""
+
+        best = max(rows, key=order)  # rows pass one by one; only the best is held
+        known = self.last.get()[0] if self.last.exists() else None
+        if self.last.exists() and known == best["sha256"]:
+            return
+        yield Row(**{self.key: key[0], "sha256": best["sha256"], "status": "changed" if self.last.exists() else "new", **{c: best[c] for c in self.keep}})
+        self.last.update((best["sha256"],))
+
+    def close(self) -> None:
+        pass
+
+
 def change_feed(stream: DataFrame, key: str, content: Column, seq: str, path: str, checkpoint: str, keep: Sequence[str] = ()) -> None:
-    """Emits only new and changed documents.
+    """Emits only new and changed documents, as status ``new`` or ``changed``.
 
-    The state is the change log itself: per batch, the last version of each key is taken first (so a key
-    with a third of all rows shrinks on the map side), compared with the last logged hash, and what
-    differs is appended. A log grows with changes, not with arrivals.
+    A value state per key holds the last hash, so a batch reads what has arrived and the states of its keys, whatever the
+    history. Only key, order, hash and ``keep`` are moved, never the content; a hot key's rows pass as a stream. A batch that
+    is repeated starts from the state of its checkpoint and overwrites its own partition.
     """
-    spark = stream.sparkSession
     hashed = stream.select(key, seq, *keep, F.sha2(content, 256).alias("sha256"))
     schema = T.StructType([
-        T.StructField(key, T.StringType()), T.StructField("sha256", T.StringType()), T.StructField("status", T.StringType()),
+        T.StructField(key, hashed.schema[key].dataType), T.StructField("sha256", T.StringType()), T.StructField("status", T.StringType()),
         *[hashed.schema[c] for c in keep],
     ])
-
-    def step(df: DataFrame, batch: int) -> None:
-        last = F.max(F.struct(seq, "sha256", *keep))
-        fresh = df.groupBy(key).agg(last.alias("l__")).select(key, "l__.sha256", *[f"l__.{c}" for c in keep])
-        log = _read_log(spark, path, schema, batch)
-        known = log.groupBy(key).agg(F.max(F.struct(BATCH, "sha256")).alias("k__")).select(key, F.col("k__.sha256").alias("old__"))
-        changed = (
-            fresh.join(known, key, "left").filter(F.col("old__").isNull() | (F.col("old__") != F.col("sha256")))
-            .withColumn("status", F.when(F.col("old__").isNull(), "new").otherwise("changed"))
-        )
-        write_batch(changed.select(*schema.names), path, batch)
-
-    run_available(hashed, step, checkpoint)
+    with keyed_state(stream.sparkSession):
+        changes = hashed.groupBy(key).transformWithState(LastHash(key, seq, keep), schema, "Update", "None")
+        run_available(changes, lambda df, n: write_batch(df, path, n), checkpoint, mode="update")
 
 
 def distinct_contents(stream: DataFrame, content: Column, seq: str, path: str, checkpoint: str) -> None:
@@ -117,6 +152,50 @@ def distinct_contents(stream: DataFrame, content: Column, seq: str, path: str, c
     run_available(keyed.drop("c__"), step, checkpoint)
 
 
+WATERMARKS = "watermarks"
+
+
+def _watermark(spark: SparkSession, path: str, batch: int, delay: str) -> Column:
+    """Latest time of the batches before ``batch`` less the delay, as a literal; null before the first."""
+    schema = T.StructType([T.StructField("latest", T.TimestampType())])
+    latest = _read_log(spark, f"{path}/{WATERMARKS}", schema, batch).agg(F.max("latest") - F.expr(f"INTERVAL {delay}")).first()[0]
+    return F.lit(latest).cast("timestamp")
+
+
+def distinct_in_time(stream: DataFrame, keys: Sequence[str], ts: str, seq: str, delay: str, path: str, checkpoint: str) -> None:
+    """First arrival of every key among those that are not late; late ones are kept aside.
+
+    A row is late if its time is not after the latest time of all earlier batches less ``delay``. ``<path>/late`` holds
+    these rows, ``<path>/timely`` the first of each key of every batch, and ``<path>/first`` what
+    ``dropDuplicatesWithinWatermark`` leaves of them. Its watermark is never ahead of the one used here, so nothing is dropped
+    unseen, and its state of a key goes once the watermark has passed the key's time by ``delay``. Rows without a time or a
+    key are late rows, too.
+    """
+    spark = stream.sparkSession
+    rows = stream.select(*keys, F.col(ts).cast("timestamp").alias(ts), seq)
+
+    def split(df: DataFrame, batch: int) -> None:
+        mark = _watermark(spark, path, batch, delay)
+        whole = F.col(ts).isNotNull()
+        for k in keys:
+            whole = whole & F.col(k).isNotNull()
+        marked = df.withColumn("late__", ~whole | F.coalesce(F.col(ts) <= mark, F.lit(False)))
+        write_batch(marked.filter("late__").drop("late__"), f"{path}/late", batch)
+        first = F.min(F.struct(seq, ts))
+        timely = marked.filter("not late__").groupBy(*keys).agg(first.alias("f__"), F.max(ts).alias("latest__"))
+        write_batch(timely.select(*keys, f"f__.{ts}", f"f__.{seq}", "latest__"), f"{path}/timely", batch)
+        # the latest time comes from the written table, so the arrivals are read once for it
+        latest = spark.read.parquet(f"{path}/timely/{BATCH}={batch}").agg(F.max("latest__").alias("latest"))
+        write_batch(latest, f"{path}/{WATERMARKS}", batch)
+
+    run_available(rows, split, f"{checkpoint}/split")
+    shape = T.StructType([*[rows.schema[k] for k in keys], rows.schema[ts], rows.schema[seq], T.StructField("latest__", T.TimestampType())])
+    timely = spark.readStream.schema(shape).parquet(f"{path}/timely").drop("latest__")
+    with keyed_state(spark):
+        first = timely.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
+        run_available(first, lambda df, n: write_batch(df, f"{path}/first", n), f"{checkpoint}/first")
+
+
 # How often sources are collected.
 FREQUENCIES = ("diaria", "semanal", "mensal")
 

@@ -27,6 +27,49 @@ def test_change_feed_follows_the_last_state(spark, tmp_path):
     assert got == [(0, "u", "new"), (0, "v", "new"), (1, "v", "changed"), (2, "v", "changed")]
 
 
+def test_change_feed_reads_no_history(spark, tmp_path):
+    """A batch reads its own arrivals only, and a batch that is repeated after a failure changes nothing."""
+    import shutil
+
+    inbox, log = str(tmp_path / "in"), str(tmp_path / "log")
+    arrive(spark, inbox, [(f"u{i}", "A", 1) for i in range(50)] + [(None, "x", 1), ("n", None, 1)])
+    feed(spark, inbox, log)
+    shutil.copytree(log + "-checkpoint", log + "-before")
+    arrive(spark, inbox, [("u1", "A", 2), ("u2", "B", 2), ("n", None, 2), (None, "x", 2), ("u2", "Z", None)])
+    feed(spark, inbox, log)
+    want = [(1, "u2", "changed")]
+    got = lambda: [tuple(r) for r in spark.read.parquet(log).where(f"{jobs.BATCH} = 1").select(jobs.BATCH, "url", "status").collect()]
+    assert got() == want
+    schema = spark.createDataFrame([], "url string, text string, seq int").schema
+    jobs.change_feed(jobs.folder_stream(spark, inbox, schema), "url", F.col("text"), "seq", log, log + "-before")
+    assert got() == want
+    shutil.rmtree(f"{log}/{jobs.BATCH}=0")  # the log's history is not needed for what comes next
+    arrive(spark, inbox, [("u3", "A", 3), ("u4", "C", 3)])
+    feed(spark, inbox, log)
+    assert [r.url for r in spark.read.parquet(log).where(f"{jobs.BATCH} = 2").collect()] == ["u4"]
+
+
+def test_late_rows_are_kept_aside(spark, tmp_path):
+    import datetime as dt
+
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    at = lambda day: None if day is None else dt.datetime(2024, 1, 1) + dt.timedelta(days=day)
+    batches = [
+        [("a", 1, 1), ("a", 1, 2), ("b", 9, 3), (None, 9, 4), ("c", None, 5)],
+        [("a", 8, 6), ("d", 3, 7), ("b", 9, 8), ("e", 20, 9)],  # d is more than five days behind 9
+        [("b", 16, 10), ("f", 14, 11), ("e", 21, 12)],  # b's state is gone, so it is first again; f is late
+    ]
+    schema = "k string, ts timestamp, seq long"
+    for rows in batches:
+        spark.createDataFrame([(k, at(d), n) for k, d, n in rows], schema).coalesce(1).write.mode("append").parquet(inbox)
+        stream = jobs.folder_stream(spark, inbox, spark.createDataFrame([], schema).schema)
+        jobs.distinct_in_time(stream, ["k"], "ts", "seq", "5 days", out, out + "-checkpoint")
+    late = sorted(r.seq for r in spark.read.parquet(f"{out}/late").collect())
+    first = sorted((r.k, r.seq) for r in spark.read.parquet(f"{out}/first").collect())
+    assert late == [4, 5, 7, 11]
+    assert first == [("a", 1), ("b", 3), ("b", 10), ("e", 9)]  # the second a came while the first was still held
+
+
 def test_slots_over_several_batches_equal_the_batch(spark, tmp_path, data):
     events = spark.read.parquet(f"{data}/events.parquet")
     inbox, out = str(tmp_path / "ev"), str(tmp_path / "slots")
