@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog as cat
+from ..operators import lake
 from ..operators import reconcile as rec
+from ..session import scratch_path
 from ..sources.files import dictionary_entries
+from ..sources.footers import footers
 from ..sources.tables import TABLES, register_views, table
 from .registry import query
 
@@ -174,3 +177,79 @@ def sql_limit_flag(spark, folder):
     register_views(spark, folder, ["orders"])
     found = cat.read_only(spark, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey;")
     return cat.limited(found, 200)
+
+
+def small_lake(spark, folder) -> str:
+    """Given tables written as a lake: orders by year in three schemas, events by type, documents by language, nations."""
+    root = scratch_path(spark, "lake")
+    orders = table(spark, folder, "orders").withColumn("ano", F.year("o_orderdate"))
+    variants = (
+        orders.filter("ano < 1997").drop("o_orderpriority"), orders.filter("ano between 1997 and 1998"),
+        orders.filter("ano > 1998").withColumn("O_TotalPrice", F.col("o_totalprice").cast("string")),
+    )
+    for df in variants:
+        df.repartition("ano").write.mode("append").partitionBy("ano").parquet(f"{root}/curated/orders")
+    table(spark, folder, "events").write.partitionBy("event_type").parquet(f"{root}/curated/events")
+    table(spark, folder, "documents").select("doc_id", "source", "n_chars", "lang").write.partitionBy("lang").parquet(f"{root}/corpus/documents")
+    table(spark, folder, "nation").write.parquet(f"{root}/analytics/nation")
+    return root
+
+
+@query("schema_signatures", """
+WITH v AS (SELECT year(o_orderdate) AS ano, CASE
+    WHEN year(o_orderdate) < 1997 THEN 'o_custkey:bigint,o_orderdate:timestamp_ntz,o_orderkey:bigint,o_orderstatus:string,o_totalprice:double'
+    WHEN year(o_orderdate) < 1999 THEN 'o_custkey:bigint,o_orderdate:timestamp_ntz,o_orderkey:bigint,o_orderpriority:string,o_orderstatus:string,o_totalprice:double'
+    ELSE 'o_custkey:bigint,o_orderdate:timestamp_ntz,o_orderkey:bigint,o_orderpriority:string,o_orderstatus:string,o_totalprice:string' END AS signature FROM orders)
+SELECT signature, count(DISTINCT ano) AS parts, count(*) AS "rows" FROM v GROUP BY 1
+""")
+def schema_signatures(spark, folder):
+    """What the footers of the orders' files say: folders and rows per schema."""
+    root = small_lake(spark, folder)
+    files = lake.placed(footers(spark, f"{root}/curated/orders"), root)
+    return lake.schema_variants(files, ["name"]).select("signature", "parts", "rows")
+
+
+@query("partition_schema_check", """
+WITH v AS (SELECT DISTINCT year(o_orderdate) AS ano, CASE WHEN year(o_orderdate) < 1997 THEN 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate'
+    ELSE 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' END AS names FROM orders)
+SELECT names, count(*) AS partitions, min(ano) AS first, max(ano) AS last, (SELECT count(DISTINCT names) FROM v) > 1 AS differs FROM v GROUP BY 1
+""")
+def partition_schema_check(spark, folder):
+    """Years whose files hold other columns than those of other years."""
+    root = small_lake(spark, folder)
+    return lake.partition_variants(lake.placed(footers(spark, f"{root}/curated/orders"), root)).select("names", "partitions", "first", "last", "differs")
+
+
+LAKE_SQL = """
+WITH e(name, layer, by_year, hive, first_year, last_year, time_column, first, last, row_count, n_columns) AS (
+  SELECT 'orders', 'curated', true, true, min(year(o_orderdate)), max(year(o_orderdate)), 'o_orderdate',
+         strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S'), strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S'), count(*), 6 FROM orders
+  UNION ALL SELECT 'events', 'curated', false, true, NULL, NULL, 'ts', strftime(min(ts), '%Y-%m-%d %H:%M:%S'), strftime(max(ts), '%Y-%m-%d %H:%M:%S'), count(*), 6 FROM events
+  UNION ALL SELECT 'documents', 'corpus', false, true, NULL, NULL, NULL, NULL, NULL, count(*), 4 FROM documents
+  UNION ALL SELECT 'nation', 'analytics', false, false, NULL, NULL, NULL, NULL, NULL, count(*), 3 FROM nation)
+"""
+
+
+def lake_entries(spark, folder):
+    root = small_lake(spark, folder)
+    found = lake.entries(lake.placed(footers(spark, root), root), root, {"orders": "o_orderdate", "events": "ts"})
+    return cat.build([found], THEMES, SOURCES, MANUAL, GENERATED)
+
+
+@query("lake_catalog", LAKE_SQL + """
+SELECT name, layer, by_year, hive, first_year, last_year, time_column, first, last, row_count, n_columns FROM e
+""")
+def lake_catalog(spark, folder):
+    """Catalogue entries with layer, folders, years, period and rows, without reading any data."""
+    names = ["name", "layer", "by_year", "hive", "first_year", "last_year", "time_column", "first", "last", "row_count"]
+    return lake_entries(spark, folder).select(*names, F.size("columns").alias("n_columns"))
+
+
+@query("lake_listing", LAKE_SQL + """
+SELECT 'Stream' AS source, 1::BIGINT AS tables, '- events (' || format('{:,}', row_count) || ' linhas · ' || first[:10] || ' a ' || last[:10] || '): User events' AS lines FROM e WHERE name = 'events'
+UNION ALL
+SELECT 'ORDERS', 1, '- orders (' || format('{:,}', row_count) || ' linhas · ' || first[:10] || ' a ' || last[:10] || ' · particionada por ano): Orders of customers' FROM e WHERE name = 'orders'
+""")
+def lake_listing(spark, folder):
+    """Tables whose name, description or theme hold the words, by source."""
+    return lake.listing(lake_entries(spark, folder), "ÉR  s")

@@ -373,43 +373,6 @@ def approx_distinct(spark, folder):
     )
 
 
-@query("schema_signatures", """
-WITH s AS (SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS signature, count(*) AS n FROM documents GROUP BY 1)
-SELECT signature, count(*) AS files, sum(n)::BIGINT AS "rows" FROM s GROUP BY 1
-""")
-def schema_signatures(spark, folder):
-    """Sources as files and languages as columns: files per distinct signature, with their rows."""
-    per_file = table(spark, folder, "documents").groupBy("source").agg(
-        F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("signature"), F.count("*").alias("n")
-    )
-    return per_file.groupBy("signature").agg(F.count("*").alias("files"), F.sum("n").alias("rows"))
-
-
-@query("partition_schema_check", """
-WITH y AS (
-  SELECT year(o_orderdate) AS ano, concat_ws(',', CASE WHEN count(CASE WHEN year(o_orderdate) <= 1998 THEN o_orderpriority END) > 0 THEN 'o_orderpriority' END,
-         CASE WHEN count(CASE WHEN o_orderdate < TIMESTAMP '1997-01-01' THEN o_custkey END) > 0 THEN 'o_custkey' END,
-         CASE WHEN count(o_totalprice) > 0 THEN 'o_totalprice' END) AS signature FROM orders GROUP BY 1)
-SELECT signature, count(*) AS partitions, min(ano) AS first, max(ano) AS last, (SELECT count(DISTINCT signature) FROM y) > 1 AS differs FROM y GROUP BY 1
-""")
-def partition_schema_check(spark, folder):
-    """Columns that hold anything, per year; more than one signature means that partitions differ."""
-    early = F.when(F.year("o_orderdate") <= 1998, F.col("o_orderpriority"))
-    old = F.when(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz"), F.col("o_custkey"))
-    per_year = _orders(spark, folder).groupBy(F.year("o_orderdate").cast("bigint").alias("ano")).agg(
-        F.concat_ws(
-            ",",
-            F.when(F.count(early) > 0, "o_orderpriority"),
-            F.when(F.count(old) > 0, "o_custkey"),
-            F.when(F.count("o_totalprice") > 0, "o_totalprice"),
-        ).alias("signature")
-    )
-    kinds = per_year.agg(F.count_distinct("signature") > 1)
-    return per_year.groupBy("signature").agg(
-        F.count("*").alias("partitions"), F.min("ano").alias("first"), F.max("ano").alias("last")
-    ).withColumn("differs", kinds.scalar())
-
-
 @query("partition_layout", """
 WITH p AS (
   SELECT source AS t, CASE lang WHEN 'en' THEN 'lake/' || source || '/ano=' || (2000 + n_chars % 20) || '/p.parquet'
