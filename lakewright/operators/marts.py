@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,23 +71,52 @@ def cells_summary(plants: DataFrame, lat: str, lon: str, state: str, kind: str,
     ).orderBy(F.col("capacity").desc(), lat, lon)
 
 
-def validity_join(facts: DataFrame, relation: DataFrame, key: str, ts: str, start: str, end: str, last: DataFrame | None = None) -> DataFrame:
-    """Facts with the relations that were valid at their time; a null end is still valid.
+RADIX, LEVELS = 64, 4  #: blocks of 1, 64, 64^2 and 64^3 days reach over all dates
+FIRST_DAY = 719_528  #: days before 1970 from which days are counted, so that they are not negative
 
-    Both sides meet on (key, month), so a key with very many facts is spread over its months, and
-    a fact is only compared with relations that touch its month. Open relations reach to the last fact;
-    ``last`` may give that time from a cheaper place than the facts themselves.
+
+def _span(lo: Column, hi: Column) -> Column:
+    """lo, lo + 1, ... below hi; empty when there is none."""
+    return F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _block(level: int, b: Column) -> Column:
+    return F.struct(F.lit(level).alias("level"), b.alias("block"))
+
+
+def aligned_blocks(first: Column, until: Column) -> Column:
+    """Days from ``first`` to before ``until`` as the fewest aligned blocks: an array of (level, block)."""
+    parts = []
+    for level in range(LEVELS):
+        width = RADIX**level
+        lo, hi = F.ceil(first / width).cast("long"), F.floor(until / width).cast("long")
+        if level == LEVELS - 1:
+            blocks = _span(lo, hi)
+        else:  # blocks of the next level take the middle
+            nlo, nhi = F.ceil(lo / RADIX).cast("long") * RADIX, F.floor(hi / RADIX).cast("long") * RADIX
+            blocks = F.when(nlo >= nhi, _span(lo, hi)).otherwise(F.concat(_span(lo, nlo), _span(nhi, hi)))
+        parts.append(F.transform(blocks, partial(_block, level)))
+    return F.concat(*parts)
+
+
+def validity_join(facts: DataFrame, relation: DataFrame, key: str, ts: str, start: str, end: str) -> DataFrame:
+    """Facts with the relations that were valid at their time (start included, end not); a null end is still valid.
+
+    A relation is written as aligned blocks of days, at most some hundred however long it is, and a fact looks up one block
+    of each of the ``LEVELS`` sizes; the two meet in exactly one block. The facts are read once, and no latest time is needed.
+    Null keys and starts, and ends not after their start, join with nothing.
     """
-    last = facts.agg(F.max(ts)) if last is None else last
-    until = F.coalesce(F.col(end), F.greatest(last.scalar().cast("timestamp_ntz"), F.col(start)))
-    months = F.sequence(F.trunc(start, "month"), F.trunc("u__", "month"), F.expr("interval 1 month"))
-    spread = (
-        relation.withColumn("u__", until).filter(F.col("u__") >= F.col(start))
-        .withColumn("m__", F.explode(months)).drop("u__")
-    )
-    keyed = facts.withColumn("m__", F.trunc(ts, "month"))
+    def day(c: Column) -> Column:
+        return F.unix_date(F.to_date(c)).cast("long") + FIRST_DAY
+
+    until = F.when(F.col(end).isNull(), F.lit(RADIX**LEVELS)).otherwise(day(F.col(end)) + 1)
+    usable = F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(end) > F.col(start)))
+    spread = relation.filter(usable).withColumn("b__", F.explode(aligned_blocks(day(F.col(start)), until)))
+    levels = F.array(*[F.struct(F.lit(n).alias("level"), F.floor(day(F.col(ts)) / RADIX**n).cast("long").alias("block")) for n in range(LEVELS)])
+    keyed = facts.withColumn("b__", F.explode(levels))
     valid = (F.col(ts) >= F.col(start)) & (F.col(end).isNull() | (F.col(ts) < F.col(end)))
-    return keyed.join(spread, [key, "m__"]).filter(valid).drop("m__")
+    flat = [df.withColumns({"l__": F.col("b__.level"), "k__": F.col("b__.block")}).drop("b__") for df in (keyed, spread)]
+    return flat[0].join(flat[1], [key, "l__", "k__"]).filter(valid).drop("l__", "k__")
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -95,19 +126,35 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 
 def within_radius(points: DataFrame, targets: DataFrame, metres: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Points that lie within a radius of any target.
+    """Points that lie within a radius of any target, anywhere on the sphere.
 
-    Targets are written into their own and the eight neighbouring cells; points stay in one cell, so the
-    big side is not multiplied. The semi join stops at the first hit. Cells are wide enough for the
-    radius up to 60 degrees of latitude.
+    Bands of latitude are as high as the radius. A band is cut into cells as wide as the radius reaches in it, and is one cell
+    near a pole. Targets are written into their own and the neighbouring cells of three bands, across the date line too;
+    points stay in one cell, so the big side is not multiplied. The semi join stops at the first hit.
     """
-    step = metres / 111_195.0 * 2.0
-    near = F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))
-    t = targets.select(F.col(lat).alias("lat__"), F.col(lon).alias("lon__")).distinct()
-    t = t.withColumn("dy", near).select("*", F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)])).alias("dx")).select(
-        "lat__", "lon__", (F.floor(F.col("lat__") / step) + F.col("dy")).alias("cy__"), (F.floor(F.col("lon__") / step) + F.col("dx")).alias("cx__")
-    )
-    p = points.withColumn("cy__", F.floor(F.col(lat) / step)).withColumn("cx__", F.floor(F.col(lon) / step))
+    reach = math.degrees(metres / EARTH_RADIUS) * 1.000001 + 1e-9
+    bands = max(math.floor(180 / reach), 1) if reach < 180 else 1
+    height = 180 / bands
+
+    def band_of(c: Column) -> Column:
+        return F.greatest(F.least(F.floor((c + 90) / height), F.lit(bands - 1)), F.lit(0)).cast("long")
+
+    def cells_in(band: Column) -> Column:
+        """How many cells a band has: none narrower than what the radius spans at the band's edge nearer a pole."""
+        edge = F.greatest(F.abs(band * height - 90), F.abs((band + 1) * height - 90))
+        ratio = math.sin(math.radians(min(reach, 90))) / F.cos(F.radians(edge))
+        width = F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * 1.000001
+        return F.when((edge + reach >= 90) | (ratio >= 1), F.lit(1)).otherwise(F.greatest(F.floor(360 / width), F.lit(1))).cast("long")
+
+    def cell_in(c: Column, cells: Column) -> Column:
+        return F.least(F.floor(F.pmod(c + 180, F.lit(360.0)) / 360 * cells), cells - 1).cast("long")
+
+    t = targets.select(F.col(lat).alias("lat__"), F.col(lon).alias("lon__")).where("lat__ is not null and lon__ is not null").distinct()
+    t = t.withColumn("cy__", F.explode(F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: band_of(F.col("lat__")) + d))).where(F.col("cy__").between(0, bands - 1))
+    t = t.withColumn("n__", cells_in(F.col("cy__"))).withColumn("c__", cell_in(F.col("lon__"), F.col("n__")))
+    around = F.array_distinct(F.array(*[F.pmod(F.col("c__") + d, F.col("n__")) for d in (-1, 0, 1)]))
+    t = t.select("lat__", "lon__", "cy__", F.explode(around).alias("cx__"))
+    p = points.withColumn("cy__", band_of(F.col(lat))).withColumn("cx__", cell_in(F.col(lon), cells_in(F.col("cy__"))))
     same = (p["cy__"] == t["cy__"]) & (p["cx__"] == t["cx__"])
     close = haversine(p[lat], p[lon], t["lat__"], t["lon__"]) <= metres
     return p.join(t, same & close, "left_semi").drop("cy__", "cx__")
@@ -122,14 +169,32 @@ def forecast_errors(issues: DataFrame, observed: DataFrame, cell: Sequence[str],
     )
 
 
-HOURLY = "hourly struct<time:array<string>,value:array<double>>"
-
-
-def hourly_rows(df: DataFrame, json: str, keep: Sequence[str]) -> DataFrame:
-    """Parallel arrays of an hourly response as rows; one object or a list of objects."""
+def _responses(df: DataFrame, json: str, keep: Sequence[str]) -> DataFrame:
+    """One row per response, as a variant ``o__``; the text holds one object or a list of them. Broken texts give none."""
     text = F.trim(F.col(json))
     listed = F.when(F.startswith(text, F.lit("[")), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
-    parsed = F.from_json(listed, f"array<struct<{HOURLY.replace('hourly ', 'hourly:')}>>")
-    each = df.select(*keep, F.explode(parsed).alias("o__"))
-    zipped = F.arrays_zip(F.col("o__.hourly.time").alias("time"), F.col("o__.hourly.value").alias("value"))
-    return each.select(*keep, F.inline(zipped).alias("time", "value"))
+    return df.select(*keep, F.explode(F.try_variant_get(F.try_parse_json(listed), "$", "array<variant>")).alias("o__"))
+
+
+def hourly_rows(df: DataFrame, json: str, keep: Sequence[str], variables: Sequence[str] = ("value",)) -> DataFrame:
+    """Parallel arrays of an hourly response as rows: time and one column per variable; the longest array decides.
+
+    A variable that a response lacks, or whose array ends earlier, is null there.
+    """
+    def numbers(name: str) -> Column:
+        return F.coalesce(F.try_variant_get("o__", f'$.hourly["{name}"]', "array<double>"), F.array().cast("array<double>"))
+
+    times = F.coalesce(F.try_variant_get("o__", "$.hourly.time", "array<string>"), F.array().cast("array<string>"))
+    zipped = F.arrays_zip(times.alias("time"), *[numbers(v).alias(v) for v in variables])
+    return _responses(df, json, keep).select(*keep, F.inline(zipped).alias("time", *variables))
+
+
+def hourly_values(df: DataFrame, json: str, keep: Sequence[str]) -> DataFrame:
+    """Every variable that a response has, whatever its name: (``keep``, variable, time, value) rows."""
+    each = _responses(df, json, keep).select(
+        *keep, F.try_variant_get("o__", "$.hourly", "map<string,variant>").alias("h__"),
+        F.coalesce(F.try_variant_get("o__", "$.hourly.time", "array<string>"), F.array().cast("array<string>")).alias("t__"),
+    )
+    listed = each.select(*keep, "t__", F.explode("h__").alias("variable", "v__")).where("variable != 'time'")
+    zipped = F.arrays_zip(F.col("t__").alias("time"), F.try_variant_get("v__", "$", "array<double>").alias("value"))
+    return listed.select(*keep, "variable", F.inline(zipped).alias("time", "value"))

@@ -6,9 +6,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import fold_name
 from ..session import materialize
@@ -99,51 +101,58 @@ def budget_greedy(
     budget: int,
     fold_rows: int = FOLD_ROWS,
 ) -> DataFrame:
-    """Greedy fill: the first item is always taken, later ones when they still fit.
+    """Greedy fill: the first item is always taken, later ones when they still fit. Sizes are whole numbers from 0 up.
 
-    A small group is folded in one array. A big group is never collected: its longest fitting prefix is
-    found with bucketed running totals and taken as a whole; the budget that is left rules out every
-    larger item at once, and the rest goes round again until it is small or used up.
+    Items of equal ``order`` go by their other columns, so the result does not depend on how a group is worked on. A group of
+    at most ``fold_rows`` rows is folded in one array; others are never collected (``_by_size_classes``).
     """
-    items = df.withColumn("o__", order).withColumn("b__", bucket)
-    left = items.groupBy(*keys).agg(F.lit(int(budget)).cast("long").alias("left__"), F.count("*").alias("n__"), F.min("o__").alias("first__"))
-    taken: list[DataFrame] = []
-    first_round = True
+    orderable = [F.col(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    items = df.withColumn("o__", F.struct(order.alias("first"), *[c.alias(f"c{i}") for i, c in enumerate(orderable)])).withColumn("b__", bucket)
+    groups = items.groupBy(*keys).agg(F.lit(int(budget)).cast("long").alias("left__"), F.count("*").alias("n__"))
+    small = groups.filter(F.col("n__") <= fold_rows).select(*keys, "left__")
+    folded = _fold(join_keys(items, small, keys), keys, size).select(*df.columns)
+    large = groups.filter(F.col("n__") > fold_rows).select(*keys)
+    if large.isEmpty():
+        return folded
+    taken = _by_size_classes(join_keys(items, large, keys), keys, size, int(budget))
+    return folded.unionByName(taken.select(*df.columns))
+
+
+def _by_size_classes(items: DataFrame, keys: Sequence[str], size: str, budget: int) -> DataFrame:
+    """Rows of ``items`` (o__ the order, b__ its bucket) that a greedy fill of each group takes.
+
+    With ``left`` in [2^k, 2^(k+1)), items under 2^k all fit until the first event: such an item brings ``left`` under 2^k, or an
+    item of 2^k or more fits and is taken. Larger items before it never fit later. So each round takes a whole prefix by one
+    running total, and k falls: there are at most log2(budget) + 2 rounds, whatever the sizes.
+    """
+    # rows that are equal in all columns are told apart by a number, stored so that it does not change
+    items = materialize(items.withColumn("row__", F.monotonically_increasing_id()), "greedy-items")
+    items = items.withColumn("o__", F.struct("o__", "row__")).withColumn("s__", F.col(size).cast("long")).drop("row__")
+    first = items.groupBy(*keys).agg(F.min(F.struct("o__", "s__")).alias("f__"))
+    started = join_keys(items, first, keys)
+    taken = [started.filter(F.col("o__") == F.col("f__.o__")).select(*items.columns)]
+    left = F.lit(budget) - F.col("f__.s__")
+    rest = started.filter(F.col("o__") > F.col("f__.o__")).withColumn("left__", left).drop("f__")
     while True:
-        # the very first item of a group is taken even when it alone passes the budget
-        small = left.filter(F.col("n__") <= fold_rows).select(*keys, "left__")
-        taken.append(_fold(join_keys(items, small, keys), keys, size, first_round).select(*df.columns))
-        big = left.filter(F.col("n__") > fold_rows).select(*keys, "left__", *(["first__"] if first_round else []))
-        if big.isEmpty():
-            break
-        rest = join_keys(items, big, keys)
-        ranked = running_before(rest, keys, [F.col("o__")], F.col("b__"), F.col(size), "before__")
-        fits = F.col("before__") + F.col(size) <= F.col("left__")
-        if first_round:
-            fits = fits | (F.col("o__") == F.col("first__"))
-        crossing = ranked.groupBy(*keys).agg(F.min(F.when(~fits, F.col("o__"))).alias("stop__"))
-        marked = materialize(
-            join_keys(ranked, crossing, keys).withColumn(
-                "take__", F.col("stop__").isNull() | (F.col("o__") < F.col("stop__"))
-            ),
-            "greedy-round",
-        )
-        taken.append(marked.filter("take__").select(*df.columns))
-        used = marked.groupBy(*keys).agg(
-            (F.max("left__") - F.sum(F.when(F.col("take__"), F.col(size)).otherwise(0))).alias("left__")
-        )
-        open_items = join_keys(marked.filter(~F.col("take__")).drop("left__"), used, keys).filter(F.col(size) <= F.col("left__"))
-        items = materialize(open_items.select(*df.columns, "o__", "b__", "left__"), "greedy-rest")
-        left = items.groupBy(*keys).agg(F.first("left__").alias("left__"), F.count("*").alias("n__"))
-        items = items.drop("left__")
-        first_round = False
-    out = taken[0]
-    for t in taken[1:]:
-        out = out.unionByName(t)
-    return out
-
-
-def _fold(df: DataFrame, keys: Sequence[str], size: str, first_free: bool) -> DataFrame:
+        rest = materialize(rest.filter(F.col("s__") <= F.col("left__")), "greedy-rest")
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, taken)
+        half = F.when(F.col("left__") > 0, F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin("left__")) - 1)).otherwise(F.lit(0))
+        lesser = F.col("s__") < F.greatest(half, F.lit(1))
+        ranked = running_before(rest, keys, [F.col("o__")], F.col("b__"), F.when(lesser, F.col("s__")).otherwise(F.lit(0)), "before__")
+        now = F.col("left__") - F.col("before__")
+        event = (lesser & (now - F.col("s__") < half)) | (~lesser & (F.col("s__") <= now))
+        stops = ranked.groupBy(*keys).agg(F.min(F.when(event, F.col("o__"))).alias("stop__"))
+        before = F.col("stop__").isNull() | (F.col("o__") < F.col("stop__"))
+        at = F.coalesce(F.col("o__") == F.col("stop__"), F.lit(False))
+        marked = materialize(join_keys(ranked, stops, keys).withColumn("take__", (lesser & before) | at), "greedy-round")
+        taken.append(marked.filter("take__").select(*items.columns))
+        used = marked.groupBy(*keys).agg((F.max("left__") - F.coalesce(F.sum(F.when(F.col("take__"), F.col("s__"))), F.lit(0))).alias("left__"))
+        later = marked.filter(F.col("o__") > F.col("stop__")).select(*items.columns)
+        rest = join_keys(later, used, keys)
+
+
+def _fold(df: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
     """Greedy fill of small groups inside one expression."""
     columns = [c for c in df.columns if c not in (*keys, "left__")]
     row = F.struct(F.col("o__").alias("k__"), *[F.col(c) for c in columns])
@@ -152,9 +161,7 @@ def _fold(df: DataFrame, keys: Sequence[str], size: str, first_free: bool) -> Da
     start = F.struct(F.col("left__").alias("left"), F.lit(False).alias("any"), empty.alias("kept"))
 
     def step(acc: Column, r: Column) -> Column:
-        take = r[size] <= acc["left"]
-        if first_free:
-            take = take | ~acc["any"]
+        take = (r[size] <= acc["left"]) | ~acc["any"]
         return F.struct(
             F.when(take, acc["left"] - r[size]).otherwise(acc["left"]).alias("left"),
             F.lit(True).alias("any"),

@@ -142,7 +142,7 @@ def validity_join(spark, folder):
     facts = lines.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "t").agg(
         F.count("*").alias("n"), F.sum("q").alias("q")
     )
-    return mt.validity_join(facts, relation, "o_custkey", "t", "a", "z", last=lines.agg(F.max("t"))).groupBy("grp").agg(
+    return mt.validity_join(facts, relation, "o_custkey", "t", "a", "z").groupBy("grp").agg(
         F.sum("n").alias("n"), F.round(F.sum("q"), 2).alias("quantity")
     )
 
@@ -195,3 +195,24 @@ def hourly_json(spark, folder):
     )
     listed = F.when(F.col("event_type") == "view", F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
     return mt.hourly_rows(table(spark, folder, "events").select("event_id", listed.alias("json")), "json", ["event_id"])
+
+
+@query("hourly_variables", """
+WITH b AS (SELECT event_id, ts, value, (props->>'$.k')::DOUBLE AS k FROM events)
+SELECT event_id, 'k' AS variable, strftime(ts, '%Y-%m-%dT%H:%M') AS time, k AS value FROM b
+UNION ALL SELECT event_id, 'k', strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M'), k + 1 FROM b
+UNION ALL SELECT event_id, 'wind 100m', strftime(ts, '%Y-%m-%dT%H:%M'), value FROM b
+UNION ALL SELECT event_id, 'wind 100m', strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M'), NULL FROM b
+""")
+def hourly_variables(spark, folder):
+    """Two variables of unequal length, found by what each response holds."""
+    def at(expr):
+        return F.date_format(F.expr(expr), "yyyy-MM-dd'T'HH:mm")
+
+    k = F.get_json_object("props", "$.k")
+    body = F.concat(
+        F.lit('{"hourly":{"time":["'), at("ts"), F.lit('","'), at("ts + interval 1 hour"), F.lit('"],"wind 100m":['), F.col("value").cast("string"),
+        F.lit('],"k":['), k, F.lit(","), (k.cast("double") + 1).cast("string"), F.lit("]}}"),
+    )
+    listed = F.when(F.col("event_type") == "view", F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
+    return mt.hourly_values(table(spark, folder, "events").select("event_id", listed.alias("json")), "json", ["event_id"])

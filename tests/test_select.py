@@ -36,6 +36,29 @@ def test_greedy_budget_in_rounds_equals_the_loop(spark, fold_rows):
     assert run(spark, groups, 100, fold_rows) == want
 
 
+@pytest.mark.parametrize("fold_rows", [0, 5000])
+def test_greedy_budget_with_ties(spark, fold_rows):
+    """Tied order keys go by the other columns, in folds and in rounds alike."""
+    df = spark.createDataFrame([("g", 1, 20, "a"), ("g", 1, 20, "b"), ("g", 1, 3, "c"), ("h", 2, 4, "x"), ("h", 2, 4, "x"), ("h", 2, 4, "x")], "g string, i long, size long, n string")
+    out = sel.budget_greedy(df, ["g"], F.col("i"), F.lit(0), "size", 10, fold_rows)
+    assert sorted((r.g, r["size"], r.n) for r in out.collect()) == [("g", 3, "c"), ("h", 4, "x"), ("h", 4, "x")]
+
+
+def test_greedy_rounds_stay_logarithmic(spark, monkeypatch):
+    """Sizes that leave a little less each time, and items that just fail to fit between them."""
+    rounds = []
+    real = sel.materialize
+    monkeypatch.setattr(sel, "materialize", lambda df, label: (rounds.append(label), real(df, label))[1])
+    budget, left, items = 1 << 10, 1 << 10, []
+    while left > 1:
+        items += [(len(items), left), (len(items) + 1, left // 2 + 1), (len(items) + 2, 1)]
+        left //= 2
+    items = [(i, s) for i, (_, s) in enumerate(items)]
+    items = [(0, 1), *[(i + 1, s) for i, (_, s) in enumerate(items)], *[(100 + i, 1 + i % 7) for i in range(300)]]
+    assert run(spark, {"g": items}, budget, 0) == {"g": greedy(items, budget)}
+    assert rounds.count("greedy-round") <= 12
+
+
 def test_budget_examples(spark):
     items = [(0, 500), (1, 600), (2, 300), (3, 100)]
     assert run(spark, {"g": items}, 900, 5000) == {"g": [0, 2, 3]}
