@@ -53,10 +53,9 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _members(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """Whole sets of the documents in ``ids``."""
+    """Whole sets of the documents in ``ids``; not stored, since both ends of the pairs share one exchange of them."""
     wanted = docs.select("doc_id", "text").join(small(ids), F.col("doc_id") == F.col("id"), "left_semi")
-    rows = _sets(wanted, size, "id long, items array<long>", lambda ids, sets: ([ids, S.lists(sets)], ["id", "items"]))
-    return store(rows, "sets")
+    return _sets(wanted, size, "id long, items array<long>", lambda ids, sets: ([ids, S.lists(sets)], ["id", "items"]))
 
 
 def _check(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
