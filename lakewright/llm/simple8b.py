@@ -41,14 +41,25 @@ def encode_block(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     escapes = values[values >= _TOP]
     values = np.minimum(values, _TOP)
     selector = np.full(n, 15, np.uint8)
-    places = np.arange(n, dtype=np.int64)
+    small = values.astype(np.uint32) if n and values.max() < 1 << 32 else values  # half the memory to pass through
     for s in range(14, -1, -1):  # from few values a word to many: the last that fits is the best
-        fits = values < (_U(1) << _U(BITS[s]))
-        if not fits.any():
+        bad = np.flatnonzero(small >= small.dtype.type(1 << BITS[s])) if BITS[s] < 8 * small.itemsize else np.zeros(0, np.int64)
+        if len(bad) == n:
             break  # fewer bits fit even less
-        bad = np.where(fits, n + 256, places)  # behind the end, zeros fill the word
-        run = np.minimum.accumulate(bad[::-1])[::-1] - places
-        selector[run >= np.minimum(COUNTS[s], 256)] = s
+        # a word fits where no such value is among the next COUNTS[s]; behind the end, zeros fill it
+        ends = np.append(bad, n + 256)
+        starts = np.append(0, bad + 1)
+        lengths = np.maximum(ends - starts - (COUNTS[s] - 1), 0)
+        wide = lengths > 0
+        starts, lengths = starts[wide], np.minimum(lengths[wide], n - starts[wide])
+        if len(starts) < 64:
+            for lo, m in zip(starts.tolist(), lengths.tolist()):
+                selector[lo : lo + m] = s
+        else:
+            mark = np.zeros(n + 1, np.int8)
+            mark[starts] += 1
+            mark[starts + lengths] -= 1
+            selector[np.cumsum(mark[:n], dtype=np.int8) > 0] = s
     step = np.array(COUNTS, np.int64)[selector].tolist()
     starts, i = [], 0
     while i < n:

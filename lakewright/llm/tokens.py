@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 
-MEMO = 500_000  #: chunks that a worker remembers; the rest are encoded again when they come again
+MEMO = 1_000_000  #: chunks that a worker remembers; the rest are encoded again when they come again
 
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 _KEPT: dict[int, "Encoder"] = {}
