@@ -32,6 +32,8 @@ MAGIC = b"LWS8B\x00\x00\x01"
 
 _U = np.uint64
 _TOP = _U((1 << 60) - 1)
+_LIMITS = np.array([1 << b for b in BITS[1:]], _U)  #: a value's place among these says how many bits it needs
+_ALLOWED = [int(np.searchsorted(_LIMITS, _U((1 << b) - 1), "right")) for b in BITS]
 
 
 def encode_block(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,27 +42,17 @@ def encode_block(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     escapes = values[values >= _TOP]
     values = np.minimum(values, _TOP)
-    selector = np.full(n, 15, np.uint8)
-    small = values.astype(np.uint32) if n and values.max() < 1 << 32 else values  # half the memory to pass through
+    # the widest of the next COUNTS[s] values decides whether selector s fits; behind the end, zeros fill a word
+    need = np.zeros(n + 256, np.uint8)
+    need[:n] = np.searchsorted(_LIMITS, values, "right")
+    selector, widest, wide = np.full(n, 15, np.uint8), need, 1
     for s in range(14, -1, -1):  # from few values a word to many: the last that fits is the best
-        bad = np.flatnonzero(small >= small.dtype.type(1 << BITS[s])) if BITS[s] < 8 * small.itemsize else np.zeros(0, np.int64)
-        if len(bad) == n:
-            break  # fewer bits fit even less
-        # a word fits where no such value is among the next COUNTS[s]; behind the end, zeros fill it
-        ends = np.append(bad, n + 256)
-        starts = np.append(0, bad + 1)
-        lengths = np.maximum(ends - starts - (COUNTS[s] - 1), 0)
-        wide = lengths > 0
-        starts, lengths = starts[wide], np.minimum(lengths[wide], n - starts[wide])
-        if len(starts) < 64:
-            for lo, m in zip(starts.tolist(), lengths.tolist()):
-                selector[lo : lo + m] = s
-        else:
-            mark = np.zeros(n + 1, np.int8)
-            mark[starts] += 1
-            mark[starts + lengths] -= 1
-            selector[np.cumsum(mark[:n], dtype=np.int8) > 0] = s
-    step = np.array(COUNTS, np.int64)[selector].tolist()
+        while wide < COUNTS[s]:
+            more = min(wide, COUNTS[s] - wide)
+            widest = np.maximum(widest[:-more], widest[more:])
+            wide += more
+        np.copyto(selector, np.uint8(s), where=widest[:n] <= _ALLOWED[s])
+    step = np.array(COUNTS, np.uint8)[selector].tobytes()
     starts, i = [], 0
     while i < n:
         starts.append(i)
