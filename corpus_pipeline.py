@@ -33,7 +33,8 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at 0.8, the one with the smallest doc_id stays, as one row.
 
-    Documents without words, and rows without doc_id, are in no group and stay.
+    Documents without words, and rows without doc_id, are in no group and stay. Unlike texts under one doc_id are one
+    document to the join; each of its texts stays.
     """
     groups = ngram_join.linked_documents(docs, size=5, percent=80)
     gone = groups.where("doc_id != component_id").select("doc_id").distinct()
@@ -45,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if again.isEmpty():
         return kept
     again = again.withColumnRenamed("doc_id", key)
-    once = kept.join(again, own == F.col(key), "left_semi").dropDuplicates(["doc_id"])
+    once = kept.join(again, own == F.col(key), "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(again, own == F.col(key), "left_anti").unionByName(once)
 
 
