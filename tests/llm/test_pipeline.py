@@ -37,3 +37,10 @@ def test_run(spark, data):
     rows = pipeline.run(spark, data).collect()
     assert rows and all(0 < r.length <= 2048 for r in rows)
     assert sum(r.length for r in rows) > 2048 * (len({r.sequence_id for r in rows}) - 2)
+
+
+def test_no_text_is_lost_among_equal_ids(spark):
+    a, b, c = (" ".join(f"{name}{i}" for i in range(30)) for name in "abc")
+    rows = [(1, a), (1, b), (2, b), (3, c), (1, a), (None, c), (4, None)]
+    kept = pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, a), (1, b), (3, c), (None, c), (4, None)], key=str)
