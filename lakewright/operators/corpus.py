@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
 from ..session import materialize
+from .ordered import carried_forward, join_keys
 
 # Limits, the note on cut documents and the headings that identify a legal act.
 MIN_CHARS = 300
@@ -81,20 +82,22 @@ def upsert(
     """Marks each document as new, changed, unchanged or too short, by its whole text.
 
     ``state`` holds one row (key, sha256). ``order`` names the sequence of arrivals, if a key may come more than once:
-    an arrival is held against the last one of its key that was long enough, the first such against the state. The text
-    stays in place: only keys and hashes are joined when the caller selects no text afterwards. ``cut`` may come before.
+    an arrival is held against the last one of its key that was long enough, the first such against the state. ``order`` is
+    unique within a key; hashes are then written once, and one key's arrivals are spread over tasks (``carried_forward``).
+    The text stays in place: only keys and hashes are joined when the caller selects no text afterwards. ``cut`` may come
+    before. ``incoming``'s own columns chars and sha256 are replaced.
     """
-    final = incoming.withColumn("text", text)
-    final = final.withColumn("chars", F.char_length("text").cast("bigint"))
-    final = final.withColumn("sha256", F.when(F.col("chars") >= min_chars, sha(F.col("text"))))
+    final = incoming.withColumn("text", text).drop("chars", "sha256")
+    chars = F.char_length("text").cast("bigint")
+    hashed = F.when(chars >= min_chars, sha(F.col("text")))
+    if order:
+        told = materialize(final.select(key, order, chars.alias("chars"), hashed.alias("sha256")), "arrivals")
+        final = join_keys(final, carried_forward(told, [key], order, "sha256", "last__"), [key, order])
+    else:
+        final = final.withColumn("chars", chars).withColumn("sha256", hashed).withColumn("last__", F.lit(None).cast("string"))
     old = state.select(F.col(key).alias("key__"), F.col("sha256").alias("old__"))
     joined = final.join(old, F.col(key).eqNullSafe(F.col("key__")), "left").drop("key__")
-    if order:
-        before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        seen = joined.select(key, order, "sha256", F.last("sha256", ignorenulls=True).over(before).alias("last__"))
-        seen = seen.where("last__ is not null").select(F.col(key).alias("key__"), F.col(order).alias("order__"), "last__")
-        joined = joined.join(seen, F.col(key).eqNullSafe(F.col("key__")) & (F.col(order) == F.col("order__")), "left")
-        joined = joined.withColumn("old__", F.coalesce("last__", "old__")).drop("key__", "order__", "last__")
+    joined = joined.withColumn("old__", F.coalesce("last__", "old__")).drop("last__")
     status = (
         F.when(F.col("sha256").isNull(), "too_short")
         .when(F.col("old__").isNull(), "new")

@@ -90,37 +90,76 @@ def shift_values(
     )
 
 
+def placed(df: DataFrame, value: str, edges: Column, parts: int, out: str) -> DataFrame:
+    """Adds ``out``: how many of ``parts - 1`` ascending ``edges`` lie below ``value``, found by halving.
+
+    ``parts`` is a power of two. Each step is a column of its own, so it is computed once. Nulls are in part 0.
+    """
+    if parts < 2 or parts & (parts - 1):
+        raise ValueError(f"{parts} is no power of two")
+    df = df.withColumn("e__", edges).withColumn(out, F.lit(0))
+    step = parts // 2
+    while step:
+        above = F.get("e__", F.col(out) + (step - 1)) < F.col(value)
+        df = df.withColumn(out, F.when(above, F.col(out) + step).otherwise(F.col(out)))
+        step //= 2
+    return df.drop("e__")
+
+
+def _edges(value: str, parts: int) -> Column:
+    """Splitters from a quantile sketch: no part holds more than 1.5 of ``parts`` shares of what was aggregated, ties aside."""
+    return F.percentile_approx(value, [i / parts for i in range(1, parts)], 4 * parts)
+
+
+def carried_forward(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, parts: int = 128) -> DataFrame:
+    """Adds ``out``: the last non-null ``value`` among the earlier rows of the same key; null where there is none.
+
+    ``order``, a number or a time, is cut at quantiles of all rows, so a key that holds most rows is spread over the parts.
+    What a part hands on is one value per key; rows look it up beside the window inside their part. Null orders come first;
+    ``order`` must be unique within a key. ``df`` is read three times and should be narrow and written.
+    """
+    edges = df.agg(_edges(order, parts).alias("e")).first().e  # parts - 1 numbers, whatever the input
+    work = placed(df, order, F.lit(edges), parts, "b__") if edges else df.withColumn("b__", F.lit(0))
+    last = F.max(F.when(F.col(value).isNotNull(), F.struct(F.col(order), F.col(value).alias("v__"))))
+    handed = work.groupBy(*keys, "b__").agg(last.alias("l__")).select(*keys, "b__", F.col("l__.v__").alias("v__"))
+    earlier = Window.partitionBy(*keys).orderBy("b__").rowsBetween(Window.unboundedPreceding, -1)
+    handed = handed.select(*keys, "b__", F.last("v__", ignorenulls=True).over(earlier).alias("v__"))
+    inside = Window.partitionBy(*keys, "b__").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    work = work.withColumn("i__", F.last(value, ignorenulls=True).over(inside))
+    return join_keys(work, handed, [*keys, "b__"]).withColumn(out, F.coalesce("i__", "v__")).drop("b__", "i__", "v__")
+
+
 def order_statistics(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     ranks: dict[str, Column],
-    buckets: int = 4096,
+    parts: int = 256,
 ) -> DataFrame:
     """Exact values at given 0-based ranks of each key's sorted, non-null ``value``, and ``n``.
 
     ``ranks`` holds expressions over ``n`` (rows of the key). Equal values are counted before they move;
-    these counts are written once, so the input is scanned once. A histogram finds the buckets that hold
-    the wanted ranks, and only those buckets are sorted.
+    these counts are written once, so the input is scanned once. A sketch of each key's distinct values gives
+    splitters, so that long tails and infinite values do not crowd a part; exact counts between the splitters
+    find the parts that hold the wanted ranks, and only those parts are sorted.
     """
     counted = materialize(
         df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v__")).agg(F.count("*").alias("c__")), "value-counts"
     )
-    spans = counted.groupBy(*keys).agg(F.min("v__").alias("lo__"), F.max("v__").alias("hi__"), F.sum("c__").alias("n"))
+    spans = counted.groupBy(*keys).agg(_edges("v__", parts).alias("edges__"), F.sum("c__").alias("n"))
     wanted = spans.select(
-        *keys, "lo__", "hi__", "n",
+        *keys, "edges__", "n",
         F.array(*[F.struct(F.lit(name).alias("name"), r.cast("long").alias("rank")) for name, r in ranks.items()]).alias("want__"),
     )
-    placed = join_keys(counted, wanted, keys) if keys else _with_one_row(counted, wanted)
-    step = F.when(F.col("hi__") > F.col("lo__"), (F.col("v__") - F.col("lo__")) / (F.col("hi__") - F.col("lo__"))).otherwise(F.lit(0.0))
-    placed = placed.withColumn("b__", F.floor(step * buckets))
-    totals = placed.groupBy(*keys, "b__").agg(F.sum("c__").alias("t__"), F.first("want__").alias("want__"))
+    work = join_keys(counted, wanted, keys) if keys else _with_one_row(counted, wanted)
+    work = placed(work, "v__", F.col("edges__"), parts, "b__").drop("edges__")
+    totals = work.groupBy(*keys, "b__").agg(F.sum("c__").alias("t__"), F.first("want__").alias("want__"))
     offsets = _prefix(totals, list(keys), "b__", "t__", "p__")
     hit = F.filter("want__", lambda s: (s.rank >= F.col("p__")) & (s.rank < F.col("p__") + F.col("t__")))
     targets = offsets.withColumn("want__", hit).filter(F.size("want__") > 0).select(*keys, "b__", "p__", "want__")
     inside = Window.partitionBy(*keys, "b__").orderBy("v__").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = (
-        join_keys(placed.drop("want__", "lo__", "hi__"), targets, [*keys, "b__"])
+        join_keys(work.drop("want__"), targets, [*keys, "b__"])
         .withColumn("upto__", F.col("p__") + F.sum("c__").over(inside))
         .withColumn("s__", F.explode("want__"))
         .filter((F.col("s__.rank") < F.col("upto__")) & (F.col("s__.rank") >= F.col("upto__") - F.col("c__")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..sources import versions
 from ..sources.tables import table
 from ..streaming import jobs
 from .registry import query
@@ -105,3 +106,18 @@ def snapshot_refresh(spark, folder):
     documents.filter("source < 'src3' or n_chars > 50").write.partitionBy("source").parquet(path)
     visible = jobs.snapshot(spark.read.parquet(path), markers)
     return visible.groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("snapshot_versions", """
+SELECT reader, source, count(*) AS n, sum(n_chars)::BIGINT AS chars
+FROM documents, (SELECT unnest(['early', 'late']) AS reader) WHERE reader = 'late' OR n_chars > 200 GROUP BY 1, 2
+""")
+def snapshot_versions(spark, folder):
+    """An index rebuilt while it is read: who looked it up before goes on with the old version, who comes later has the new one."""
+    documents = table(spark, folder, "documents").select("doc_id", "source", "n_chars")
+    root = scratch_path(spark, "index-versions")
+    versions.publish(documents.filter("n_chars > 200"), root)
+    early = versions.resolve(spark, root)
+    versions.publish(documents, root)
+    parts = [v.read(spark).withColumn("reader", F.lit(name)) for name, v in (("early", early), ("late", versions.resolve(spark, root)))]
+    return parts[0].unionByName(parts[1]).groupBy("reader", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
