@@ -134,7 +134,7 @@ def order_statistics(
     keys: Sequence[str],
     value: str,
     ranks: dict[str, Column],
-    parts: int = 256,
+    parts: int = 64,
 ) -> DataFrame:
     """Exact values at given 0-based ranks of each key's sorted, non-null ``value``, and ``n``.
 
