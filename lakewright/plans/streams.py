@@ -15,7 +15,7 @@ from .registry import query
 SELECT strftime(time_bucket(INTERVAL '30 minutes', ts), '%Y-%m-%d %H:%M:%S') AS slot, round(sum(value), 2) AS total, count(*) AS events FROM events GROUP BY 1
 """)
 def stream_slots(spark, folder):
-    stream = jobs.folder_stream(spark, folder, table(spark, folder, "events").schema, "events.parquet")
+    stream = jobs.table_stream(spark, folder, "events")
     path = scratch_path(spark, "slots")
     jobs.slot_totals(stream, "ts", "value", path, f"{path}-checkpoint")
     out = jobs.latest_slots(spark, path)
@@ -48,7 +48,7 @@ def stream_changed_docs(spark, folder):
 SELECT sha256(text) AS key, min(doc_id) AS doc_id FROM documents GROUP BY 1
 """)
 def stream_dedup(spark, folder):
-    stream = jobs.folder_stream(spark, folder, table(spark, folder, "documents").schema, "documents.parquet")
+    stream = jobs.table_stream(spark, folder, "documents")
     path = scratch_path(spark, "contents")
     jobs.distinct_contents(stream, F.col("text"), "doc_id", path, f"{path}-checkpoint")
     return spark.read.parquet(path).select("key", "doc_id")
@@ -87,7 +87,7 @@ def stream_frequency_subset(spark, folder):
     descriptors = documents.select("source").distinct().select(
         "source", F.element_at(F.array(*[F.lit(f) for f in jobs.FREQUENCIES]), number % 3 + 1).alias("frequency"), (F.col("source") != "src4").alias("active"),
     )
-    stream = jobs.folder_stream(spark, folder, documents.schema, "documents.parquet")
+    stream = jobs.table_stream(spark, folder, "documents")
     path = scratch_path(spark, "due")
     jobs.counts_of_due(stream, jobs.due_sources(descriptors, "semanal"), path, f"{path}-checkpoint")
     return spark.read.parquet(path).groupBy("source").agg(F.sum("n").alias("n"))

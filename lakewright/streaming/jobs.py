@@ -27,6 +27,15 @@ def folder_stream(spark: SparkSession, path: str, schema: T.StructType, glob: st
     return reader.parquet(path)
 
 
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table below ``folder`` as a stream, whether it is one Parquet file or a folder of them.
+
+    A stream takes a single file only as a pattern; ``basePath`` keeps the columns of a partitioned folder.
+    """
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("basePath", folder).parquet(f"{folder}/{{{name}}}.parquet")
+
+
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Process everything that is there, then stop."""
     job = (

@@ -102,3 +102,30 @@ def test_read_only_sql(spark):
                 "cache table t_numbers", "explain select 1", "select 1) as q; drop table t_numbers --"):
         with pytest.raises(Exception):
             cat.read_only(spark, bad)
+
+
+def _as_folders(spark, data, root, *names):
+    """The tables as folders of several files, as a cluster's writer leaves them."""
+    for name in names:
+        spark.read.parquet(f"{data}/{name}.parquet").repartition(3).write.parquet(f"{root}/{name}.parquet")
+    return str(root)
+
+
+def test_contents_of_a_table_in_several_files(spark, tmp_path, data):
+    from lakewright.plans import QUERIES
+
+    folder = _as_folders(spark, data, tmp_path, "documents", "events")
+    for name in ("stream_dedup", "stream_slots"):
+        one, many = (QUERIES[name](spark, f) for f in (data, folder))
+        assert one.count() == many.count() > 0 and many.exceptAll(one).isEmpty(), name
+
+
+def test_table_stream_keeps_partition_columns(spark, tmp_path, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    docs.write.partitionBy("lang").parquet(str(tmp_path / "documents.parquet"))
+    out = str(tmp_path / "out")
+    stream = jobs.table_stream(spark, str(tmp_path), "documents").select("doc_id", "lang")
+    jobs.run_available(stream, lambda df, n: jobs.write_batch(df, out, n), out + "-checkpoint")
+    got = spark.read.parquet(out).select("doc_id", "lang")
+    want = docs.select("doc_id", "lang")
+    assert got.count() == want.count() and want.exceptAll(got).isEmpty()
