@@ -129,3 +129,11 @@ def test_table_stream_keeps_partition_columns(spark, tmp_path, data):
     got = spark.read.parquet(out).select("doc_id", "lang")
     want = docs.select("doc_id", "lang")
     assert got.count() == want.count() and want.exceptAll(got).isEmpty()
+
+
+def test_due_sources_of_a_table_in_several_files(spark, tmp_path, data):
+    from lakewright.plans import QUERIES
+
+    folder = _as_folders(spark, data, tmp_path, "documents")
+    one, many = (QUERIES["stream_frequency_subset"](spark, f) for f in (data, folder))
+    assert one.count() == many.count() > 0 and many.exceptAll(one).isEmpty()
