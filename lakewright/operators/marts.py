@@ -9,7 +9,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import join_keys, percentile_interpolated
+from .ordered import exact_sum, join_keys, percentile_interpolated, round_half_up
 
 # Trusted wind readings, grid step in degrees, Earth radius in metres.
 MAX_WIND = 40
@@ -32,7 +32,7 @@ def monthly_mart(fact: DataFrame, ts: str, dims: Sequence[str], plant: str, gene
     """Slots, plants, energy cut and generated by month and dimensions."""
     return fact.groupBy(F.date_format(ts, "yyyy-MM").alias("month"), *dims).agg(
         F.count("*").alias("slots"), F.count_distinct(plant).alias("plants"),
-        F.round(F.sum("cut_mwh"), 6).alias("mwh_cut"), F.round(F.sum(F.col(generated) * hours), 6).alias("mwh_generated"),
+        F.round(exact_sum(F.col("cut_mwh")), 6).alias("mwh_cut"), F.round(exact_sum(F.col(generated) * hours), 6).alias("mwh_generated"),
     )
 
 
@@ -40,7 +40,7 @@ def element_mart(fact: DataFrame, element: str, ts: str, plant: str) -> DataFram
     """First and last restricted slot, active days, plants and energy cut per limiting element."""
     totals = fact.filter("restricted").groupBy(element).agg(
         F.min(ts).alias("first"), F.max(ts).alias("last"), F.count_distinct(F.to_date(ts)).alias("active_days"),
-        F.count_distinct(plant).alias("plants"), F.round(F.sum("cut_mwh"), 6).alias("mwh_cut"),
+        F.count_distinct(plant).alias("plants"), F.round(exact_sum(F.col("cut_mwh")), 6).alias("mwh_cut"),
     )
     return totals.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first", "last")})
 
@@ -52,10 +52,10 @@ def noise_floor(fact: DataFrame, keys: Sequence[str], generated: str, reference:
     relative = F.round(F.try_divide(F.abs(gap), F.col(generated)), 6)
     shares = free.groupBy(*keys).agg(
         F.count("*").alias("free_slots"), F.round(F.count_if(gap > 0) / F.count("*"), 6).alias("share_above"),
-        F.round(F.sum(F.greatest(gap, F.lit(0.0))) * hours, 6).alias("phantom_mwh"),
+        F.round(exact_sum(F.greatest(gap, F.lit(0.0))) * hours, 6).alias("phantom_mwh"),
     )
     marks = percentile_interpolated(free.select(*keys, relative.alias("e")), keys, "e", {"error_p50": 0.5, "error_p90": 0.9})
-    marks = marks.select(*keys, F.round("error_p50", 6).alias("error_p50"), F.round("error_p90", 6).alias("error_p90"))
+    marks = marks.select(*keys, round_half_up(F.col("error_p50"), 6).alias("error_p50"), round_half_up(F.col("error_p90"), 6).alias("error_p90"))
     return join_keys(shares, marks, keys, "left")
 
 

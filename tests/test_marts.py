@@ -83,3 +83,14 @@ def test_items_beside_the_channel(spark):
     df = spark.createDataFrame([("https://h/x", rdf), ("https://h/y", mixed)], "feed string, xml string")
     got = sorted((r.outlet, r.title, r.link) for r in feed_items(df).collect())
     assert got == [("C", "one", "l1"), ("C", "two", "l2"), ("D", "in", ""), ("D", "out", "")]
+
+
+def test_noise_floor_sums_and_ties_are_exact(spark):
+    many = spark.range(200_000).select(F.lit("a").alias("k"), F.lit(29.27).alias("g"), F.lit(304.0).alias("r"))
+    two = spark.createDataFrame([("b", 1.0, 44.103646), ("b", 1.0, 44.103647)], "k string, g double, r double")
+    odd = spark.createDataFrame([("c", 1.0, 1e300), ("c", 1.0, 1.5), ("d", 1.0, float("inf")), ("e", None, 1.0)], "k string, g double, r double")
+    fact = many.union(two).union(odd).withColumn("restricted", F.lit(False))
+    got = {x.k: x for x in mt.noise_floor(fact, ["k"], "g", "r").collect()}
+    assert got["a"].phantom_mwh == 27_473_000.0  # added as doubles it is off by more than a millionth
+    assert got["b"].error_p50 == 43.103647  # the middle is 43.103646499999996 as a double
+    assert got["c"].phantom_mwh == 5e299 and got["d"].phantom_mwh == float("inf") and got["e"].phantom_mwh == 0
