@@ -9,6 +9,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ordered import exact_sum, join_keys, percentile_interpolated, round_half_up
 
 # Trusted wind readings, grid step in degrees, Earth radius in metres.
@@ -99,24 +100,61 @@ def aligned_blocks(first: Column, until: Column) -> Column:
     return F.concat(*parts)
 
 
+CLOSED = [4**k for k in range(13)]  #: widths in days of the blocks that closed relations are written to
+
+
+def _blocks(first: Column, until: Column) -> Column:
+    """(level, block) rows of the days from ``first`` to before ``until``; a null ``until`` is open. Levels count ``CLOSED``.
+
+    A closed relation is written to the one or two blocks, no shorter than it is, that it touches. An open one is the fewest
+    aligned blocks of 64 days and more, at most 189; every third level is one of these.
+    """
+    length = until - first
+    level = F.coalesce(*[F.when(length <= width, F.lit(k)) for k, width in enumerate(CLOSED)], F.lit(len(CLOSED) - 1))
+    width = F.element_at(F.array(*[F.lit(w) for w in CLOSED]), level + 1)
+    touched = F.sequence(F.floor(first / width).cast("long"), F.floor((until - 1) / width).cast("long"))
+    closed = F.transform(touched, lambda b: F.struct(level.alias("level"), b.alias("block")))
+    coarse = aligned_blocks(F.floor(first / RADIX).cast("long"), F.lit(RADIX ** (LEVELS - 1)).cast("long"))
+    opened = F.transform(coarse, lambda b: F.struct((3 * (b.level + 1)).alias("level"), b.block.alias("block")))
+    return F.when(until.isNull(), opened).otherwise(closed)
+
+
+LIGHT = 64  #: relations of a key that each fact of the key may be held against
+FLAGS = 500_000  #: keys with more relations than that, which may be broadcast after they were counted
+
+
 def validity_join(facts: DataFrame, relation: DataFrame, key: str, ts: str, start: str, end: str) -> DataFrame:
     """Facts with the relations that were valid at their time (start included, end not); a null end is still valid.
 
-    A relation is written as aligned blocks of days, at most some hundred however long it is, and a fact looks up one block
-    of each of the ``LEVELS`` sizes; the two meet in exactly one block. The facts are read once, and no latest time is needed.
-    Null keys and starts, and ends not after their start, join with nothing.
+    Facts of a key with at most ``LIGHT`` relations meet all of them, so neither side is multiplied. A relation of another key
+    is written as a few blocks of days (``_blocks``), and a fact looks up one block of each size that some relation has, at
+    most 13; the two meet in at most one block. Times decide in both. The facts are read once, and no latest time is needed;
+    relations are read again to be counted. Exploded rows stand behind Spark's estimate, so the join is told not to
+    broadcast. Null keys and starts, and ends not after their start, join with nothing.
     """
     def day(c: Column) -> Column:
         return F.unix_date(F.to_date(c)).cast("long") + FIRST_DAY
 
-    until = F.when(F.col(end).isNull(), F.lit(RADIX**LEVELS)).otherwise(day(F.col(end)) + 1)
     usable = F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(end) > F.col(start)))
-    spread = relation.filter(usable).withColumn("b__", F.explode(aligned_blocks(day(F.col(start)), until)))
-    levels = F.array(*[F.struct(F.lit(n).alias("level"), F.floor(day(F.col(ts)) / RADIX**n).cast("long").alias("block")) for n in range(LEVELS)])
-    keyed = facts.withColumn("b__", F.explode(levels))
+    relation = relation.filter(usable)
+    heavy = materialize(relation.groupBy(F.col(key).alias("h__")).agg(F.count("*").alias("n__")).filter(F.col("n__") > LIGHT).select("h__"), "heavy-keys")
+    many, whole = heavy.count(), F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).cast("long").alias("block")))
+
+    def placed(df: DataFrame, blocks) -> DataFrame:
+        if not many:
+            return df.withColumns({"l__": F.lit(-1), "k__": F.lit(0).cast("long")})
+        marked = df.join(F.broadcast(heavy) if many <= FLAGS else heavy, F.col(key) == F.col("h__"), "left")
+        spread = marked.withColumn("b__", F.explode(F.when(F.col("h__").isNull(), whole).otherwise(blocks())))
+        return spread.withColumns({"l__": F.col("b__.level"), "k__": F.col("b__.block")}).drop("b__", "h__")
+
+    rel = placed(relation, lambda: _blocks(day(F.col(start)), day(F.col(end)) + 1))
+    used = sorted(x.l__ for x in rel.filter("l__ >= 0").select("l__").distinct().collect()) if many else []  # at most 13 numbers
+
+    def lookups() -> Column:
+        return F.array(*[F.struct(F.lit(n).alias("level"), F.floor(day(F.col(ts)) / CLOSED[n]).cast("long").alias("block")) for n in used])
+
     valid = (F.col(ts) >= F.col(start)) & (F.col(end).isNull() | (F.col(ts) < F.col(end)))
-    flat = [df.withColumns({"l__": F.col("b__.level"), "k__": F.col("b__.block")}).drop("b__") for df in (keyed, spread)]
-    return flat[0].join(flat[1], [key, "l__", "k__"]).filter(valid).drop("l__", "k__")
+    return placed(facts, lookups).join(rel.hint("merge"), [key, "l__", "k__"]).filter(valid).drop("l__", "k__")
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -94,3 +94,16 @@ def test_noise_floor_sums_and_ties_are_exact(spark):
     assert got["a"].phantom_mwh == 27_473_000.0  # added as doubles it is off by more than a millionth
     assert got["b"].error_p50 == 43.103647  # the middle is 43.103646499999996 as a double
     assert got["c"].phantom_mwh == 5e299 and got["d"].phantom_mwh == float("inf") and got["e"].phantom_mwh == 0
+
+
+def test_validity_multiplies_neither_side(spark):
+    """Relations of usual keys are not cut into days; keys with many relations give the same rows."""
+    day = F.expr("timestamp_ntz'2000-01-01' + make_interval(0, 0, 0, cast(id % 3000 as int))")
+    rel = spark.range(600).select((F.col("id") % 20).alias("k"), F.col("id").alias("rel"), day.alias("a"), F.when(F.col("id") % 3 > 0, F.expr("timestamp_ntz'2000-01-01' + make_interval(0, 0, 0, cast(id % 3000 + 45 as int))")).alias("z"))
+    rel = rel.union(spark.range(100, 400).select(F.lit(99), "id", day, F.when(F.col("id") % 2 > 0, F.expr("timestamp_ntz'2000-01-01' + make_interval(0, 0, 0, cast(id % 3000 + id as int))"))))
+    fact = spark.range(900).select(F.when(F.col("id") % 3 == 0, 99).otherwise(F.col("id") % 25).alias("k"), F.col("id").alias("fact"), day.alias("t"))
+    got = mt.validity_join(fact, rel, "k", "t", "a", "z").select("fact", "rel")
+    want = fact.join(rel, "k").where("t >= a and (z is null or t < z)").select("fact", "rel")
+    assert got.count() == want.count() > 1000 and got.exceptAll(want).isEmpty()
+    light = mt.validity_join(fact, rel.where("k < 20"), "k", "t", "a", "z")._jdf.queryExecution()
+    assert "Generate" not in light.executedPlan().toString() and "Broadcast" not in light.executedPlan().toString()
