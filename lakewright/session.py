@@ -19,6 +19,8 @@ SETTINGS = {
     # windows-1252 is only known to the reader with the JVM charset list
     "spark.sql.legacy.javaCharsets": "true",
     "spark.sql.parquet.compression.codec": "zstd",
+    # rows of long texts reach Python in batches of bounded size, whatever the partition holds
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     # no call-site capture per column expression: plans are built noticeably faster
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -53,6 +55,14 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Bounds the bytes of a batch sent to Python; results do not depend on it, but the memory of the workers does."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) != SETTINGS[key]:
+        spark.conf.set(key, SETTINGS[key])
+    return spark
+
+
 def local_session(app: str = "lakewright", cores: str = "*", shuffle: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench. On a cluster, use the one that is given."""
     builder = (

@@ -216,3 +216,26 @@ def test_hybrid_score_over_a_stored_index(spark, tmp_path):
     got = {r.source: round(r.score, 6) for r in scored.collect()}
     assert got == {"a": 1.15, "b": 1.0, "c": 0.0}
     assert stored.select(lexical_share(F.col("norm"), [])).first()[0] == 0.0
+
+
+@pytest.mark.parametrize("name", ["doc_chunks"])
+def test_texts_reach_python_in_small_batches(spark, tmp_path, name):
+    from lakewright.plans import QUERIES
+
+    docs = spark.range(0, 1000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 5000).alias("text"), F.lit("src1").alias("source"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")  # 25 MB of text, before in one batch
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64m")  # as Spark has it
+    try:
+        rows = QUERIES[name](spark, str(tmp_path)).count()
+
+        def sizes(batches):
+            import pyarrow as pa
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+        largest = spark.read.parquet(f"{tmp_path}/documents.parquet").select("text").coalesce(1).mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+    finally:
+        spark.conf.set(key, before)
+    assert rows >= 1000 and largest < 10_000_000
