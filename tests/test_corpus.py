@@ -218,7 +218,7 @@ def test_hybrid_score_over_a_stored_index(spark, tmp_path):
     assert stored.select(lexical_share(F.col("norm"), [])).first()[0] == 0.0
 
 
-@pytest.mark.parametrize("name", ["doc_chunks", "embed_default"])
+@pytest.mark.parametrize("name", ["doc_chunks", "embed_default", "lexical_score"])
 def test_texts_reach_python_in_small_batches(spark, tmp_path, name):
     from lakewright.plans import QUERIES
 
