@@ -120,11 +120,11 @@ class LastHash(StatefulProcessor):
             return row[self.seq] is not None, row[self.seq] if row[self.seq] is not None else 0, row["sha256"] or ""
 
         best = max(rows, key=order)  # rows pass one by one; only the best is held
-        known = self.last.get()[0] if self.last.exists() else None
-        if self.last.exists() and known == best["sha256"]:
+        known = self.last.get()  # None without a state; every call asks the JVM, so one reads and one writes
+        if known is not None and known[0] == best["sha256"]:
             return
-        yield Row(**{self.key: key[0], "sha256": best["sha256"], "status": "changed" if self.last.exists() else "new", **{c: best[c] for c in self.keep}})
         self.last.update((best["sha256"],))
+        yield Row(**{self.key: key[0], "sha256": best["sha256"], "status": "new" if known is None else "changed", **{c: best[c] for c in self.keep}})
 
     def close(self) -> None:
         pass

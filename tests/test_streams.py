@@ -137,3 +137,28 @@ def test_due_sources_of_a_table_in_several_files(spark, tmp_path, data):
     folder = _as_folders(spark, data, tmp_path, "documents")
     one, many = (QUERIES["stream_frequency_subset"](spark, f) for f in (data, folder))
     assert one.count() == many.count() > 0 and many.exceptAll(one).isEmpty()
+
+
+def test_change_feed_asks_the_state_twice_a_key():
+    calls = []
+
+    class State:
+        value = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.value is not None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    feed = jobs.LastHash("url", "seq", [])
+    feed.last = State()
+    got = [[r.status for r in feed.handleInputRows(("u",), iter([{"seq": 1, "sha256": h}]), None)] for h in (None, None, "a", "a")]
+    assert got == [["new"], [], ["changed"], []]
+    assert calls == ["get", "update", "get", "get", "update", "get"]
