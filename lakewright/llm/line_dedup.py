@@ -111,10 +111,10 @@ def repeated_lines(docs: DataFrame, size: int = 5, percent: int = 80, least: int
 
     # the first line of each list and size first: lines like it go
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))
-    hub = F.min(entry).over(Window.partitionBy("token", "band"))
-    pairs = entries.withColumn("band", band).withColumn("hub", hub).withColumn("own", entry)
-    pairs = pairs.where((F.col("hub.id") != F.col("id")) & may("hub", "own"))
-    pairs = store(pairs.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    entries = entries.select("token", band.alias("band"), entry.alias("own"))  # the window moves each entry once
+    pairs = entries.withColumn("hub", F.min("own").over(Window.partitionBy("token", "band")))
+    pairs = pairs.where((F.col("hub.id") != F.col("own.id")) & may("hub", "own"))
+    pairs = store(pairs.select(F.col("hub.id").alias("a"), F.col("own.id").alias("b")).distinct(), "pairs")
     links = _check(docs, pairs, places, size, least, percent)
     gone = store(links.select(F.col("b").alias("id")).distinct(), "gone")
 
