@@ -17,16 +17,30 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside the block go when it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors."""
+    """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors, leaves no shuffle files."""
     path = scratch_path(df.sparkSession, label)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    with released(df.sparkSession):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows; beyond that the join shuffles as usual."""
-    return F.broadcast(df) if df.count() <= rows else df
+    with released(df.sparkSession):
+        return F.broadcast(df) if df.count() <= rows else df
 
 
 def fresh(df: DataFrame, name: str) -> str:

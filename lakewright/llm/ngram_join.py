@@ -6,8 +6,8 @@
 
 Links are wanted up to reachability, so pairs of one component need no check: each list's hub is compared first
 (``setjoin.hub_pairs``); after the components of these links are known, every pair of list members that still lie in
-different components is compared, but for the hub's pairs, which are known. Sketches (``setjoin.alike``) rule out most of
-these before whole sets are fetched. No link between different components is lost, and near copies of one text do not
+different components is compared, but for the hub's pairs, which are known. Sketches (``setjoin.alike``) and, for long
+texts, counters (``setjoin.counted``) rule out most of these before whole sets are fetched. No link between different components is lost, and near copies of one text do not
 meet all with all.
 """
 
@@ -38,18 +38,19 @@ def _sets(docs: DataFrame, size: int, schema: str, finish) -> DataFrame:
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, p1, p2, sketch, prefix): set size, 128 bits that stand for the set, its sketch and rarest elements."""
+    """(doc_id, n, p1, p2, sketch, counters, prefix): set size, 128 bits that stand for the set, its sketches and rarest elements."""
     counts = docs.sparkSession.sparkContext.broadcast(S.rarity(docs, size))
 
     def finish(ids, sets):
         prints = np.array([W.set_print(s) for s in sets], np.int64).reshape(-1, 2)
         columns = [
             ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]),
-            S.lists([S.sketch(s).view(np.uint64) for s in sets]), S.lists([S.prefix(s, counts.value, percent) for s in sets]),
+            S.lists([S.sketch(s).view(np.uint64) for s in sets]), pa.array([S.counters(s) for s in sets], pa.binary()),
+            S.lists([S.prefix(s, counts.value, percent) for s in sets]),
         ]
-        return columns, ["doc_id", "n", "p1", "p2", "sketch", "prefix"]
+        return columns, ["doc_id", "n", "p1", "p2", "sketch", "counters", "prefix"]
 
-    return _sets(docs, size, "doc_id long, n long, p1 long, p2 long, sketch array<long>, prefix array<long>", finish)
+    return _sets(docs, size, "doc_id long, n long, p1 long, p2 long, sketch array<long>, counters binary, prefix array<long>", finish)
 
 
 def _members(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -64,6 +65,13 @@ def _check(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
     return store(S.verified(pairs, _members(docs, ids, size), percent), "links")
 
 
+def _near(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that the counters of their long texts do not rule out."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    long = sig.where("counters is not null").select(F.col("doc_id").alias("id"), "n", "counters")
+    return store(S.counted(pairs, store(long.join(small(ids), "id", "left_semi"), "counters"), percent), "near")
+
+
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that sketches do not rule out."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -105,7 +113,7 @@ def linked_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     first = spread.select("a", F.coalesce("c", "b").alias("b"))
     within = of_group.where("id != group").select(F.col("group").alias("a"), F.col("id").alias("b"))
     checked = store(first.union(within).distinct(), "pairs")
-    links = _check(docs, _likely(checked, classes, percent), size, percent)
+    links = _check(docs, _near(_likely(checked, classes, percent), sig, percent), size, percent)
     parts = components(links)
 
     # every other pair of members of one list that is still in two components
@@ -126,7 +134,7 @@ def linked_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     open_pairs = open_pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     either = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     open_pairs = store(open_pairs.join(either, ["a", "b"], "left_anti"), "open")
-    more = _check(docs, open_pairs, size, percent)
+    more = _check(docs, _near(open_pairs, sig, percent), size, percent)
     if more.isEmpty():
         last = parts
     else:

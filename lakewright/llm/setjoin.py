@@ -80,6 +80,40 @@ def alike(n: Column, m: Column, x: Column, y: Column, percent: int, words=range(
     return enough(n, m, F.shiftright(n + m - apart, 1), percent)
 
 
+COUNTERS = 1024  #: counters of a set of more than SKETCH elements, whose parities say little
+MOST = 255  #: where a counter stops
+
+
+def counters(values: np.ndarray) -> bytes | None:
+    """Numbers of elements in ``COUNTERS`` hash buckets, one byte each; None for sets of at most ``SKETCH``.
+
+    An element that only one of two sets has moves one counter by one at most, so counters that are ``d`` apart belong to
+    sets that differ in ``d`` elements or more.
+    """
+    if len(values) <= SKETCH:
+        return None
+    at = (W.mix(values + np.uint64(COUNTERS)) % np.uint64(COUNTERS)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=COUNTERS), MOST).astype(np.uint8).tobytes()
+
+
+def counted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that the counters of ``sets`` (id, n, counters) do not rule out; pairs of sets without them stay."""
+    x = sets.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("counters").alias("x"))
+    y = sets.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("counters").alias("y"))
+
+    def run(batches):
+        for batch in batches:
+            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COUNTERS).astype(np.int16) for c in "xy")
+            apart = np.abs(one - other).sum(axis=1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in "abnm"), pa.array(apart)], ["a", "b", "n", "m", "apart"])
+
+    both = pairs.join(x, "a", "left").join(y, "b", "left").select("a", "b", "n", "m", "x", "y")
+    whole = F.col("x").isNotNull() & F.col("y").isNotNull()
+    near = both.where(whole).mapInArrow(run, "a long, b long, n long, m long, apart long")
+    near = near.where(enough(F.col("n"), F.col("m"), F.shiftright(F.col("n") + F.col("m") - F.col("apart"), 1), percent))
+    return near.select("a", "b").union(both.where(~whole).select("a", "b")).distinct()
+
+
 NARROW = 128  #: bits of the sketch of every entry of a list; sets with more elements than that carry ``SKETCH`` bits behind
 
 
