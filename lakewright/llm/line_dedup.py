@@ -2,7 +2,8 @@
 
 A line's set holds the hashes of its words (``size=1``, as the query and the pipeline take it) or of its shingles.
 Elements are ordered by rarity; the prefix, positional and length filters and sketches choose candidates inside the list
-join, so that lists of usual words make few pairs; the Jaccard similarity of whole sets decides (``setjoin``).
+join, so that lists of usual words make few pairs; the Jaccard similarity of whole sets decides (``setjoin``). Before that,
+lines that share smallest elements meet the first of them only, so near copies are gone before lists are joined.
 
 Equal sets are one class, whose place is its first line. A line goes if an earlier line has an equal or similar set,
 whether that line itself stays or not, so the result does not depend on an order of work.
@@ -10,8 +11,6 @@ whether that line itself stays or not, so the result does not depend on an order
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -27,8 +26,10 @@ def line_offsets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate([offsets, np.flatnonzero(data == 10) + 1]), kind="stable")
 
 
-def _lines(part: pa.RecordBatch, size: int, least: int):
-    """Row and number of every line with a word and ``least`` words or more, and their sets end to end with borders."""
+def _lines(part: pa.RecordBatch, size: int, least: int, counts: np.ndarray | None):
+    """Row and number of every line with a word and ``least`` words or more, and their sets end to end with borders.
+
+    With ``counts``, the rarest elements of a set come first."""
     data, offsets = W.text_bytes(part.column("text"))
     cuts = line_offsets(data, offsets)
     _, _, hashes, first = W.words(data, cuts)
@@ -37,40 +38,61 @@ def _lines(part: pa.RecordBatch, size: int, least: int):
     row = np.repeat(np.arange(part.num_rows), np.diff(newlines) + 1)
     number = np.arange(len(row)) - (newlines[:-1] + np.arange(part.num_rows))[row]
     wanted = np.diff(first) >= max(least, 1)
-    line = np.repeat(np.arange(len(wanted)), np.diff(border))
-    order = np.lexsort((grams, line))
-    grams, line = grams[order], line[order]
-    new = wanted[line]
-    new[1:] &= (grams[1:] != grams[:-1]) | (line[1:] != line[:-1])
-    grams, line, k = grams[new], line[new], np.flatnonzero(wanted)
-    return row[k], number[k], grams, np.searchsorted(line, np.append(k, len(wanted)))
+    line = np.repeat(np.cumsum(wanted) - 1, np.diff(border))
+    inside = np.repeat(wanted, np.diff(border))
+    if not wanted.all():
+        grams, line = grams[inside], line[inside]
+    grams, line = S.distinct_sets(grams, line, counts)
+    k = np.flatnonzero(wanted)
+    return row[k], number[k], grams, np.searchsorted(line, np.arange(len(k) + 1))
+
 
+def _print(grams: np.ndarray, border: np.ndarray, seed: int) -> pa.Array:
+    if not len(grams):
+        return pa.array([], pa.int64())
+    fold = (np.bitwise_xor, np.add)[seed]
+    return pa.array(fold.reduceat(W.mix(grams + np.uint64(W._BASES[seed])), border[:-1]).view(np.int64))
 
-def _line_sets(docs: DataFrame, size: int, least: int, schema: str, finish) -> DataFrame:
+
+def _line_sets(docs: DataFrame, size: int, least: int, schema: str, finish, counts=None) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         for batch in batches:
             for part in W.slices(batch):
-                row, number, grams, border = _lines(part, size, least)
+                row, number, grams, border = _lines(part, size, least, counts and counts.value)
                 ids = part.column("doc_id").take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(number, pa.int32()), *finish(grams, border)], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _check(docs: DataFrame, pairs: DataFrame, places: DataFrame, size: int, least: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of line ids that reach the threshold, from whole sets of just these lines."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = store(ids.join(places, "id"), "lines")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def _alike(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that whole sketches do not rule out."""
+    ends = store(reps.select("id", "n", "sketch").join(small(_ends(pairs)), "id", "left_semi"), "ends")
+    x, y = ends.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x")), ends.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    both = pairs.join(x, "a").join(y, "b")
+    return store(both.where(S.flat_alike(F.col("n"), F.col("m"), F.col("x"), F.col("y"), percent)).select("a", "b"), "alike")
+
+
+def _later(docs: DataFrame, pairs: DataFrame, places: DataFrame, size: int, least: int, percent: int) -> DataFrame:
+    """(id): the later line of every pair (a, b) of line ids that reaches the threshold, from whole sets of just these lines."""
+    ids = store(places.join(small(_ends(pairs)), "id", "left_semi"), "lines")
     of = small(ids.select(F.col("doc_id").alias("_doc")).distinct())
     wanted = docs.join(of, F.col("doc_id") == F.col("_doc"), "left_semi")
     sets = _line_sets(
-        wanted, size, least, "doc_id long, line int, items array<long>",
-        lambda grams, border: [pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), pa.array(grams.view(np.int64)))],
+        wanted, size, least, "doc_id long, line int, p1 long, items array<long>",
+        lambda grams, border: [_print(grams, border, 0), pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), pa.array(grams.view(np.int64)))],
     )
-    sets = sets.join(small(ids), ["doc_id", "line"]).select("id", "items").dropDuplicates(["id"])  # rows of one doc_id may repeat
-    return store(S.verified(pairs, sets, percent), "links")
+    sets = sets.join(small(ids), ["doc_id", "line", "p1"]).select("id", "items").dropDuplicates(["id"])  # rows of one doc_id may repeat
+    links = store(S.verified(pairs, sets, percent), "links")
+    x, y = (small(ids.select(F.col("id").alias(c), F.struct("doc_id", "line").alias(f"at_{c}"))) for c in "ab")
+    links = links.join(x, "a").join(y, "b").where("at_a != at_b")
+    return store(links.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct(), "gone")
 
 
 def repeated_lines(docs: DataFrame, size: int = 5, percent: int = 80, least: int = 5) -> DataFrame:
@@ -83,58 +105,47 @@ def repeated_lines(docs: DataFrame, size: int = 5, percent: int = 80, least: int
     counts = docs.sparkSession.sparkContext.broadcast(S.rarity(docs, size, line_offsets))
 
     def finish(grams, border):
-        prints = [np.zeros(0, np.uint64)] * 2
-        if len(grams):
-            prints = [np.bitwise_xor.reduceat(W.mix(grams + np.uint64(W._BASES[0])), border[:-1]), np.add.reduceat(W.mix(grams + np.uint64(W._BASES[1])), border[:-1])]
         return [
-            pa.array(np.diff(border), pa.int32()), *[pa.array(p.view(np.int64)) for p in prints],
-            S.flat_prefixes(grams, border, counts.value, percent), S.flat_sketches(grams, border),
+            pa.array(np.diff(border), pa.int32()), _print(grams, border, 0), _print(grams, border, 1),
+            S.first_elements(grams, border, percent), S.flat_sketches(grams, border), S.likeness_keys(grams, border),
         ]
 
-    schema = "doc_id long, line int, n int, p1 long, p2 long, prefix array<long>, sketch array<long>"
-    sig = _line_sets(docs, size, least, schema, finish)
+    schema = "doc_id long, line int, n int, p1 long, p2 long, prefix array<long>, sketch array<long>, keys array<long>"
+    sig = _line_sets(docs, size, least, schema, finish, counts)
     sig = store(sig.withColumn("id", F.monotonically_increasing_id()), "line-signatures")  # ids are as stored
-    narrow = sig.select("doc_id", "line", "p1", "p2", "n", "id")
-    classes = narrow.groupBy("p1", "p2", "n").agg(F.min(F.struct("doc_id", "line", "id")).alias("first"))
-    classes = store(classes.select("p1", "p2", "n", F.col("first.id").alias("id"), F.struct("first.doc_id", "first.line").alias("at")), "classes")
-    places = classes.select("id", "at.doc_id", "at.line")
+    narrow = sig.select("doc_id", "line", "p1", "p2", "n")
+    # the first line of each class of equal sets, moved once with all its columns
+    first = F.row_number().over(Window.partitionBy("p1", "p2", "n").orderBy("doc_id", "line", "id"))
+    sets = store(sig.withColumn("_first", first).where("_first = 1").drop("_first"), "sets")
+    places = sets.select("id", "doc_id", "line", "p1")
 
     # where not even one more element may stand in a similar set, only equal sets are similar
-    reps = sig.where(100 * F.col("n") >= percent * (F.col("n") + 1)).join(classes.select("id"), "id", "left_semi")
-    reps = store(reps.select("id", "doc_id", "line", "n", "sketch", "prefix"), "sets")
-    entries = reps.select("id", "doc_id", "line", "n", "sketch", F.posexplode("prefix").alias("pos", "token"))
-    entry = F.struct("doc_id", "line", "id", "n", "pos", "sketch")
-
-    def may(x, y):
-        one, other = F.col(f"{x}.n"), F.col(f"{y}.n")
-        return S.fits(x, y, percent) & S.flat_alike(one, other, F.col(f"{x}.sketch"), F.col(f"{y}.sketch"), percent)
-
-    # the first line of each list and size first: lines like it go
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))
-    entries = entries.select("token", band.alias("band"), entry.alias("own"))  # the window moves each entry once
-    pairs = entries.withColumn("hub", F.min("own").over(Window.partitionBy("token", "band")))
-    pairs = pairs.where((F.col("hub.id") != F.col("own.id")) & may("hub", "own"))
+    reps = sets.where(100 * F.col("n") >= percent * (F.col("n") + 1))
+
+    # lines that share smallest elements: those like the first of them go, so near copies of one line do not meet all with all
+    part = range(S.NARROW // 64)
+    own = F.struct("doc_id", "line", "id", "n", *[F.get("sketch", F.lit(k)).alias(f"s{k}") for k in part])
+    keyed = reps.select(F.explode("keys").alias("key"), own.alias("own"))
+    pairs = keyed.withColumn("hub", F.min("own").over(Window.partitionBy("key")))
+    pairs = pairs.where((F.col("hub.id") != F.col("own.id")) & S.near("hub", "own", part, percent, rest="n"))
     pairs = store(pairs.select(F.col("hub.id").alias("a"), F.col("own.id").alias("b")).distinct(), "pairs")
-    links = _check(docs, pairs, places, size, least, percent)
-    gone = store(links.select(F.col("b").alias("id")).distinct(), "gone")
-
-    # then every line that is still there against all earlier ones in its lists; the pairs above are known
-    rest = store(reps.join(small(gone), "id", "left_anti"), "rest")
-
-    def later(fit, words, extra):
-        early, late = S.listed(reps.where(fit), words).alias("x"), S.listed(rest.where(fit), words).alias("y")
-        same, before = F.col("x.doc_id") == F.col("y.doc_id"), F.col("x.line") < F.col("y.line")
-        both = early.join(late, F.col("x.token") == F.col("y.token"))
-        both = both.where(S.near("x", "y", words, percent) & ((F.col("x.doc_id") < F.col("y.doc_id")) | (same & before)) & extra)
-        return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-
-    part = S.NARROW // 64
-    short = later(percent * F.col("n") <= 100 * S.NARROW, range(part), F.least("x.n", "y.n") <= S.NARROW)
-    long = later(F.col("n") > S.NARROW, range(part, part + S.SKETCH // 64), F.lit(True))
-    both = short.union(long).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = _check(docs, store(both, "open"), places, size, least, percent)
-    gone = gone.union(more.select(F.col("b").alias("id"))).distinct()
+    gone = _later(docs, _alike(pairs, reps, percent), places, size, least, percent)
+
+    # then every line that is still there against the others in its lists; each entry moves once, whatever it meets
+    rest = S.listed(reps.join(small(gone), "id", "left_anti"), part)
+    past = S.listed(reps.join(small(gone), "id", "left_semi"), part)
+
+    def meet(some, extra):
+        both = some.alias("x").join(rest.alias("y"), F.col("x.token") == F.col("y.token"))
+        both = both.where(extra & S.near("x", "y", part, percent))
+        return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+    both = meet(rest, F.col("x.id") < F.col("y.id")).union(meet(past, F.col("x.id") != F.col("y.id"))).distinct()
+    both = both.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = _later(docs, _alike(store(both, "open"), reps, percent), places, size, least, percent)
+    gone = gone.union(more).distinct()
 
+    classes = sets.select("p1", "p2", "n", "id", F.struct("doc_id", "line").alias("at"))
     named = classes.join(gone.select(F.col("id").alias("_gone")), F.col("id") == F.col("_gone"), "left")
     named = named.select("p1", "p2", "n", "at", F.col("_gone").isNotNull().alias("gone"))
     marked = narrow.join(named, ["p1", "p2", "n"])

@@ -158,6 +158,55 @@ def flat_prefixes(values: np.ndarray, border: np.ndarray, counts: np.ndarray, pe
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(ordered[inside].view(np.int64)))
 
 
+def distinct_sets(values: np.ndarray, owner: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """``values`` by owner (ascending), each once, rarest first as ``prefix`` orders them, and their owners.
+
+    A bucket is the top bits of a hash, so its rank in their place makes one number that sorts like (count, hash).
+    """
+    code = values
+    if counts is not None:
+        rank = np.empty(BUCKETS, np.uint64)
+        rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
+        code = (rank[bucket(values)] << _SHIFT) | (values & np.uint64((1 << int(_SHIFT)) - 1))
+    order = None
+    if len(owner) and owner[-1] < 1 << 20:  # one number for both: the owner and the top 44 bits
+        key = (owner.astype(np.uint64) << np.uint64(44)) | (code >> np.uint64(20))
+        order = np.argsort(key)
+        key, code = key[order], code[order]
+        if ((key[1:] == key[:-1]) & (code[1:] != code[:-1])).any():
+            order, code = None, code[np.argsort(order)]
+    if order is None:
+        order = np.lexsort((code, owner))
+        code = code[order]
+    values, owner = values[order], owner[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
+    return values[new], owner[new]
+
+
+def first_elements(values: np.ndarray, border: np.ndarray, percent: int) -> pa.Array:
+    """``flat_prefixes`` of sets that are in order already."""
+    sizes = np.diff(border)
+    keep = sizes + (-percent * sizes) // 100 + 1
+    ends = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
+    inside = np.arange(len(values)) < np.repeat(border[:-1] + keep, sizes)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[inside].view(np.int64)))
+
+
+_ODD = [(0x9E3779B97F4A7C15 * (2 * k + 1) + 2 * k) % (1 << 64) | 1 for k in range(1, 7)]
+
+
+def likeness_keys(values: np.ndarray, border: np.ndarray) -> pa.Array:
+    """Three numbers for each of many sets, laid end to end; each is the same for two sets with the chance of their squared
+    similarity, because it holds the smallest elements by two hashes."""
+    spread, three = W.mix(values + np.uint64(COUNTERS)), []
+    for one, other in zip(_ODD[::2], _ODD[1::2]):
+        x, y = (np.minimum.reduceat(spread * np.uint64(k), border[:-1]) if len(values) else spread for k in (one, other))
+        three.append(W.mix(x ^ W.mix(y + np.uint64(one))))
+    keys = np.stack(three, axis=1).reshape(-1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, 3, dtype=np.int32)), pa.array(keys.view(np.int64)))
+
+
 def lists(column_values: list[np.ndarray]) -> pa.Array:
     """Arrays of hashes as an Arrow list column of signed numbers."""
     ends = np.concatenate([[0], np.cumsum([len(v) for v in column_values])]).astype(np.int32)
@@ -188,20 +237,23 @@ def shared(entries: DataFrame) -> DataFrame:
 
 
 def listed(sets: DataFrame, words: range) -> DataFrame:
-    """Entries of ``sets`` (id, doc_id, line, n, sketch, prefix): token, rest (elements from here on) and sketch words.
+    """Entries of ``sets`` (id, n, sketch, prefix): token, rest (elements from here on) and sketch words.
 
-    The words are plain columns: array access makes a join condition too long for the JVM to compile.
+    The words are plain columns: array access makes a join condition too long for the JVM to compile. A token is the end of
+    its hash; where two meet, the pair is a candidate more.
     """
     flat = [F.get("sketch", F.lit(k)).alias(f"s{i}") for i, k in enumerate(words)]
-    one = sets.select("id", "doc_id", "line", "n", *flat, F.posexplode("prefix").alias("pos", "token"))
+    one = sets.select("id", F.col("n").cast("int").alias("n"), *flat, F.posexplode("prefix").alias("pos", "token"))
+    one = one.withColumn("token", F.col("token").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     return one.withColumn("rest", (F.col("n") - F.col("pos")).cast("int")).drop("pos")
 
 
-def near(x: str, y: str, words: range, percent: int) -> Column:
-    """Length and positional filter and sketches, for the entries ``x`` and ``y`` of one list of ``listed``."""
+def near(x: str, y: str, words: range, percent: int, rest: str = "rest") -> Column:
+    """Length and positional filter and sketches, for the entries ``x`` and ``y`` of one list of ``listed``; ``rest`` is
+    the column with the most that a set can have in common."""
     both = F.col(f"{x}.n") + F.col(f"{y}.n")
     apart = sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(1, len(words))), F.bit_count(F.col(f"{x}.s0").bitwiseXOR(F.col(f"{y}.s0"))))
-    common = F.least(F.col(f"{x}.rest"), F.col(f"{y}.rest"), F.shiftright(both - apart, 1))
+    common = F.least(F.col(f"{x}.{rest}"), F.col(f"{y}.{rest}"), F.shiftright(both - apart, 1))
     return (100 + percent) * common >= percent * both
 
 

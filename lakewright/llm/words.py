@@ -111,6 +111,8 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
 
 def shingles(hashes: np.ndarray, first: np.ndarray, size: int):
     """Hashes of all runs of ``size`` words of each row, and each row's first; fewer words give one run of them all."""
+    if size == 1:  # words as they are
+        return hashes, first
     counts = np.diff(first)
     runs = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     border = np.concatenate([[0], np.cumsum(runs)])

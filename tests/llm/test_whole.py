@@ -106,3 +106,36 @@ def test_passages_without_stops_are_cut_alike(spark, tmp_path):
         assert len(found[i]) < len(words) - 380
         assert found[i][:lo] == words[:lo] and found[i][-60:] == words[-60:]
     assert len(found[11]) < 120
+
+
+def test_sets_are_distinct_and_in_order():
+    import numpy as np
+
+    from lakewright.llm import setjoin
+
+    r = np.random.default_rng(5)
+    pool, counts = r.integers(0, 2**64, 300, dtype=np.uint64), r.integers(0, 4, setjoin.BUCKETS)
+    pool[:4] = [7 << 40, (7 << 40) + 1, (7 << 40) + 2, (7 << 40) + 1]  # alike in their top bits
+    for shift in (0, 1 << 20):  # so many owners that their number and a hash are not one key
+        owner = np.sort(r.integers(0, 40, 4000)) + shift
+        values = r.choice(pool, 4000)
+        for table in (counts, None):
+            found, of = setjoin.distinct_sets(values, owner, table)
+            for i in np.unique(owner):
+                own = np.unique(values[owner == i])
+                wanted = own if table is None else own[np.lexsort((own, table[setjoin.bucket(own)]))]
+                assert found[of == i].tolist() == wanted.tolist()
+    border = np.array([0, 3, 6, 10])
+    keys = setjoin.likeness_keys(np.concatenate([pool[10:13], pool[[12, 10, 11]], pool[20:24]]), border).to_pylist()
+    assert keys[0] == keys[1] != keys[2] and len(keys[2]) == 3
+    assert setjoin.likeness_keys(pool[:0], np.zeros(1, int)).to_pylist() == []
+
+
+def test_lines_of_unlike_texts_under_one_id(spark):
+    """Each text's lines are held against others by their own sets, not by those of another row at the same place."""
+    say = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = []
+    for k in range(30):
+        rows += [(k, say(2 * k, 20)), (k, say(2 * k + 1, 20)), (100 + k, f"{say(2 * k, 20)} more\n{say(2 * k + 1, 20)} more")]
+    found = line_dedup.dedup_lines(_frame(spark, rows), size=1, least=1, counts=True).collect()
+    assert all(r.n_removed == (2 if r.doc_id >= 100 else 0) for r in found) and len(found) == 90
