@@ -18,17 +18,25 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @contextmanager
-def released(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what runs inside the block go when it ends, not when the driver happens to collect its garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def released(spark: SparkSession):
+    """Shuffle files of what runs inside the block go when it ends, not when the driver happens to collect its garbage."""
+    return _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def by_some_keys(spark: SparkSession):
+    """Joins inside the block take sides as they are that were both dealt out by some of the keys, and do not deal them anew."""
+    return _set(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors, leaves no shuffle files."""
     path = scratch_path(df.sparkSession, label)
@@ -37,10 +45,20 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; beyond that the join shuffles as usual."""
+def counted_rows(df: DataFrame) -> int:
     with released(df.sparkSession):
-        return F.broadcast(df) if df.count() <= rows else df
+        return df.count()
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows; beyond that the join shuffles as usual.
+
+    ``most`` is a number of rows that ``df`` surely does not exceed; where it is small enough, they are not counted. Every
+    count is a plan and some exchanges more for the driver.
+    """
+    if most is not None and most <= rows:
+        return F.broadcast(df)
+    return F.broadcast(df) if counted_rows(df) <= rows else df
 
 
 def fresh(df: DataFrame, name: str) -> str:

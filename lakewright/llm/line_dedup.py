@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import setjoin as S
 from . import words as W
-from .common import fresh, let, small, store
+from .common import by_some_keys, counted_rows, fresh, let, small, store
 
 
 def line_offsets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -71,28 +71,32 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
 
 
-def _alike(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that whole sketches do not rule out."""
-    ends = store(reps.select("id", "n", "sketch").join(small(_ends(pairs)), "id", "left_semi"), "ends")
+def _alike(pairs: DataFrame, n_pairs: int, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that whole sketches do not rule out; pairs of a set without one stay."""
+    ends = store(reps.select("id", "n", "sketch").where("sketch is not null").join(small(_ends(pairs), most=2 * n_pairs), "id", "left_semi"), "ends")
     x, y = ends.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x")), ends.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
-    both = pairs.join(x, "a").join(y, "b")
-    return store(both.where(S.flat_alike(F.col("n"), F.col("m"), F.col("x"), F.col("y"), percent)).select("a", "b"), "alike")
-
-
-def _later(docs: DataFrame, pairs: DataFrame, places: DataFrame, size: int, least: int, percent: int) -> DataFrame:
-    """(id): the later line of every pair (a, b) of line ids that reaches the threshold, from whole sets of just these lines."""
-    ids = store(places.join(small(_ends(pairs)), "id", "left_semi"), "lines")
-    of = small(ids.select(F.col("doc_id").alias("_doc")).distinct())
+    near = S.alike(F.col("n"), F.col("m"), F.col("x"), F.col("y"), percent)
+    return store(pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce(near, F.lit(True))).select("a", "b"), "alike")
+
+
+def _later(docs: DataFrame, pairs: DataFrame, reps: DataFrame, places: DataFrame, size: int, least: int, percent: int) -> tuple[DataFrame, int]:
+    """(id): the later line of every pair (a, b) of line ids that reaches the threshold, from whole sets of just these lines;
+    and a number of rows that it does not exceed."""
+    n_pairs = counted_rows(pairs)
+    few = 2 * n_pairs  # lines, at most
+    pairs = _alike(pairs, n_pairs, reps, percent)
+    ids = store(places.join(small(_ends(pairs), most=few), "id", "left_semi"), "lines")
+    of = small(ids.select(F.col("doc_id").alias("_doc")).distinct(), most=few)
     wanted = docs.join(of, F.col("doc_id") == F.col("_doc"), "left_semi")
     sets = _line_sets(
         wanted, size, least, "doc_id long, line int, p1 long, items array<long>",
         lambda grams, border: [_print(grams, border, 0), pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), pa.array(grams.view(np.int64)))],
     )
-    sets = sets.join(small(ids), ["doc_id", "line", "p1"]).select("id", "items").dropDuplicates(["id"])  # rows of one doc_id may repeat
+    sets = sets.join(small(ids, most=few), ["doc_id", "line", "p1"]).select("id", "items").dropDuplicates(["id"])  # rows of one doc_id may repeat
     links = store(S.verified(pairs, sets, percent), "links")
-    x, y = (small(ids.select(F.col("id").alias(c), F.struct("doc_id", "line").alias(f"at_{c}"))) for c in "ab")
+    x, y = (small(ids.select(F.col("id").alias(c), F.struct("doc_id", "line").alias(f"at_{c}")), most=few) for c in "ab")
     links = links.join(x, "a").join(y, "b").where("at_a != at_b")
-    return store(links.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct(), "gone")
+    return store(links.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct(), "gone"), n_pairs
 
 
 def repeated_lines(docs: DataFrame, size: int = 5, percent: int = 80, least: int = 5) -> DataFrame:
@@ -105,12 +109,14 @@ def repeated_lines(docs: DataFrame, size: int = 5, percent: int = 80, least: int
     counts = docs.sparkSession.sparkContext.broadcast(S.rarity(docs, size, line_offsets))
 
     def finish(grams, border):
+        keys = S.likeness_keys(grams, border).values.to_numpy().reshape(-1, 3)
         return [
             pa.array(np.diff(border), pa.int32()), _print(grams, border, 0), _print(grams, border, 1),
-            S.first_elements(grams, border, percent), S.flat_sketches(grams, border), S.likeness_keys(grams, border),
+            S.tokens(S.first_elements(grams, border, percent)), *S.sketch_columns(S.flat_sketches(grams, border)),
+            *(pa.array(np.ascontiguousarray(k)) for k in keys.T),
         ]
 
-    schema = "doc_id long, line int, n int, p1 long, p2 long, prefix array<long>, sketch array<long>, keys array<long>"
+    schema = "doc_id long, line int, n int, p1 long, p2 long, prefix array<int>, s0 long, s1 long, sketch array<long>, k0 long, k1 long, k2 long"
     sig = _line_sets(docs, size, least, schema, finish, counts)
     sig = store(sig.withColumn("id", F.monotonically_increasing_id()), "line-signatures")  # ids are as stored
     narrow = sig.select("doc_id", "line", "p1", "p2", "n")
@@ -124,25 +130,21 @@ def repeated_lines(docs: DataFrame, size: int = 5, percent: int = 80, least: int
 
     # lines that share smallest elements: those like the first of them go, so near copies of one line do not meet all with all
     part = range(S.NARROW // 64)
-    own = F.struct("doc_id", "line", "id", "n", *[F.get("sketch", F.lit(k)).alias(f"s{k}") for k in part])
-    keyed = reps.select(F.explode("keys").alias("key"), own.alias("own"))
+    own = F.struct("doc_id", "line", "id", "n", *[f"s{k}" for k in part])
+    keyed = reps.select(F.explode(F.array("k0", "k1", "k2")).alias("key"), own.alias("own"))
     pairs = keyed.withColumn("hub", F.min("own").over(Window.partitionBy("key")))
     pairs = pairs.where((F.col("hub.id") != F.col("own.id")) & S.near("hub", "own", part, percent, rest="n"))
     pairs = store(pairs.select(F.col("hub.id").alias("a"), F.col("own.id").alias("b")).distinct(), "pairs")
-    gone = _later(docs, _alike(pairs, reps, percent), places, size, least, percent)
+    gone, n_gone = _later(docs, pairs, reps, places, size, least, percent)
 
     # then every line that is still there against the others in its lists; each entry moves once, whatever it meets
-    rest = S.listed(reps.join(small(gone), "id", "left_anti"), part)
-    past = S.listed(reps.join(small(gone), "id", "left_semi"), part)
-
-    def meet(some, extra):
-        both = some.alias("x").join(rest.alias("y"), F.col("x.token") == F.col("y.token"))
-        both = both.where(extra & S.near("x", "y", part, percent))
-        return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-
-    both = meet(rest, F.col("x.id") < F.col("y.id")).union(meet(past, F.col("x.id") != F.col("y.id"))).distinct()
+    some = small(gone.select(F.col("id").alias("_gone")), most=n_gone)
+    entries = S.listed(reps.join(some, F.col("id") == F.col("_gone"), "left").withColumn("past", F.col("_gone").isNotNull()), part)
+    both = S.met(entries, part, percent).distinct()
     both = both.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = _later(docs, _alike(store(both, "open"), reps, percent), places, size, least, percent)
+    with by_some_keys(docs.sparkSession):
+        both = store(both, "open")
+    more, _ = _later(docs, both, reps, places, size, least, percent)
     gone = gone.union(more).distinct()
 
     classes = sets.select("p1", "p2", "n", "id", F.struct("doc_id", "line").alias("at"))

@@ -11,6 +11,8 @@ broadcast without a loss.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -140,11 +142,18 @@ def flat_sketches(values: np.ndarray, border: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
 
 
-def flat_alike(n: Column, m: Column, x: Column, y: Column, percent: int) -> Column:
-    """``alike`` for two of ``flat_sketches``; the whole ones count where both sets have one."""
-    part = NARROW // 64
-    whole = alike(n, m, x, y, percent, range(part, part + SKETCH // 64))
-    return alike(n, m, x, y, percent, range(part)) & F.coalesce(whole, F.lit(True))
+def sketch_columns(sketches: pa.Array) -> list[pa.Array]:
+    """``flat_sketches`` as plain columns, a narrow sketch's words, and a column of whole ones, null where there is none.
+
+    Parquet and shuffles take plain columns at a fraction of the time of lists.
+    """
+    ends, flat, part = sketches.offsets.to_numpy(), sketches.values.to_numpy(), NARROW // 64
+    rest = np.ones(len(flat), bool)
+    for i in range(part):
+        rest[ends[:-1] + i] = False
+    sizes = np.diff(ends) - part
+    whole = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return [*(pa.array(flat[ends[:-1] + i]) for i in range(part)), pa.ListArray.from_arrays(whole, pa.array(flat[rest]), mask=pa.array(sizes == 0))]
 
 
 def flat_prefixes(values: np.ndarray, border: np.ndarray, counts: np.ndarray, percent: int) -> pa.Array:
@@ -207,6 +216,11 @@ def likeness_keys(values: np.ndarray, border: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, 3, dtype=np.int32)), pa.array(keys.view(np.int64)))
 
 
+def tokens(prefixes: pa.Array) -> pa.Array:
+    """The ends of the hashes of ``first_elements``, 31 bits each; where two meet, a pair is a candidate more."""
+    return pa.ListArray.from_arrays(prefixes.offsets, pa.array((prefixes.values.to_numpy() & 0x7FFFFFFF).astype(np.int32)))
+
+
 def lists(column_values: list[np.ndarray]) -> pa.Array:
     """Arrays of hashes as an Arrow list column of signed numbers."""
     ends = np.concatenate([[0], np.cumsum([len(v) for v in column_values])]).astype(np.int32)
@@ -237,14 +251,11 @@ def shared(entries: DataFrame) -> DataFrame:
 
 
 def listed(sets: DataFrame, words: range) -> DataFrame:
-    """Entries of ``sets`` (id, n, sketch, prefix): token, rest (elements from here on) and sketch words.
+    """Entries of ``sets`` (id, n, past, prefix and the words s0, s1 ... of sketches): token, rest (elements from here on), past and sketch words.
 
-    The words are plain columns: array access makes a join condition too long for the JVM to compile. A token is the end of
-    its hash; where two meet, the pair is a candidate more.
+    The words are plain columns: array access makes a join condition too long for the JVM to compile. Prefixes are ``tokens``.
     """
-    flat = [F.get("sketch", F.lit(k)).alias(f"s{i}") for i, k in enumerate(words)]
-    one = sets.select("id", F.col("n").cast("int").alias("n"), *flat, F.posexplode("prefix").alias("pos", "token"))
-    one = one.withColumn("token", F.col("token").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    one = sets.select("id", F.col("n").cast("int").alias("n"), "past", *[f"s{i}" for i in words], F.posexplode("prefix").alias("pos", "token"))
     return one.withColumn("rest", (F.col("n") - F.col("pos")).cast("int")).drop("pos")
 
 
@@ -257,6 +268,32 @@ def near(x: str, y: str, words: range, percent: int, rest: str = "rest") -> Colu
     return (100 + percent) * common >= percent * both
 
 
+def level(n: Column, percent: int) -> Column:
+    """Number of a size's class; similar sets are of one class or of two that are next to each other."""
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / percent))).cast("int")
+
+
+def met(entries: DataFrame, words: range, percent: int) -> DataFrame:
+    """(a, b): entries of ``listed`` of one token that pass ``near``, a < b; those that are ``past`` do not meet each other.
+
+    The smaller set ``x`` of a similar pair looks for the larger. With ``rest`` elements from the first common one on, it
+    can only be like sets of at most ``most`` elements, so the end of its prefix meets none, and the others stand in the
+    size classes up to there; ``y`` stands in its own. Odd keys hold what past entries meet. Classes are made behind one exchange
+    by token that both sides share, and a list is a hash table of its entries, so nothing is sorted.
+    """
+    rest, n = F.col("rest"), F.col("n")
+    most = (F.floor((100 + percent) * rest / F.lit(percent)) - n).cast("int")
+    odd = F.col("past").cast("int")
+    keys = F.sequence(2 * level(n, percent) + odd, 2 * level(F.greatest(most, n), percent) + odd, F.lit(2))
+    entries = entries.repartition("token")
+    x = entries.select("*", F.explode(F.when(most >= n, keys)).alias("key")).alias("x")
+    own = 2 * level(n, percent)
+    y = entries.select("*", F.explode(F.when(F.col("past"), F.array(own)).otherwise(F.array(own, own + 1))).alias("key")).alias("y")
+    before = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
+    both = x.hint("shuffle_hash").join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.key") == F.col("y.key")) & before & near("x", "y", words, percent))
+    return both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
 def hubs(entries: DataFrame) -> DataFrame:
     """(token, hub): for every list of ``shared`` entries its hub, a struct (id, n, pos).
 

@@ -247,3 +247,51 @@ def test_counters_never_rule_out_a_link(spark):
     long = {i for i, s in sets if len(s) > 512}
     assert not any(x in found for x in strange if long.issuperset(x))  # parities of so many elements say nothing
     assert all(x in found for x in strange if not long.issuperset(x))
+
+
+def test_met_entries_lose_no_similar_sets(spark):
+    import itertools
+
+    import numpy as np
+
+    from lakewright.llm import common, setjoin
+
+    random = np.random.default_rng(11)
+    pool = random.integers(0, 1 << 62, 60).astype(np.uint64)
+    sets = [pool[np.sort(random.choice(60, random.integers(5, 50), replace=False))] for _ in range(40)]
+    for s in list(sets):  # similar ones, up to the largest size that a set can be like
+        more = np.setdiff1d(pool, s)
+        sets += [s[1:], np.concatenate([s, more[: len(s) // 4]]), np.concatenate([s[1:], more[:1]])]
+    counts = np.zeros(setjoin.BUCKETS, np.int64)
+    sets = [s[np.lexsort((s, counts[setjoin.bucket(s)]))] for s in sets]
+    border = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    values = np.concatenate(sets)
+    prefixes = setjoin.tokens(setjoin.first_elements(values, border, 80)).to_pylist()
+    sketches = [c.to_pylist() for c in setjoin.sketch_columns(setjoin.flat_sketches(values, border))]
+    assert sketches[2] == [None] * len(sets)
+    rows = [(i, len(s), i % 3 == 0, prefixes[i], sketches[0][i], sketches[1][i]) for i, s in enumerate(sets)]
+    rows = spark.createDataFrame(rows, "id long, n int, past boolean, prefix array<int>, s0 long, s1 long")
+    met = setjoin.met(setjoin.listed(rows, range(2)), range(2), 80)
+    with common.by_some_keys(spark):
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        found = {(r.a, r.b) for r in met.collect()}
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    words = [set(s.tolist()) for s in sets]
+    similar = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(words[a] & words[b]) >= 80 * len(words[a] | words[b])}
+    assert len(similar) > 100
+    assert {(a, b) for a, b in similar if a % 3 or b % 3} <= found
+    assert all(a % 3 or b % 3 for a, b in found)  # lines that are gone do not meet each other
+
+
+def test_tables_known_to_be_small_are_not_counted(spark):
+    from lakewright.llm import common
+
+    def never(_):
+        raise AssertionError("counted")
+
+    rows = spark.range(10)
+    rows.count = lambda: never(rows)
+    assert common.small(rows, most=10) is not None
+    assert common.small(spark.range(10), rows=5, most=10).count() == 10
+    with pytest.raises(AssertionError, match="counted"):
+        common.small(rows, rows=5, most=10)
