@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import setjoin as S
 from . import words as W
-from .common import components, small, store
+from .common import components, counted_rows, small, store
 
 
 def _sets(docs: DataFrame, size: int, schema: str, finish) -> DataFrame:
@@ -53,29 +53,30 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return _sets(docs, size, "doc_id long, n long, p1 long, p2 long, sketch array<long>, counters binary, prefix array<long>", finish)
 
 
-def _members(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def _members(docs: DataFrame, ids: DataFrame, most: int, size: int) -> DataFrame:
     """Whole sets of the documents in ``ids``."""
-    wanted = docs.select("doc_id", "text").join(small(ids), F.col("doc_id") == F.col("id"), "left_semi")
+    wanted = docs.select("doc_id", "text").join(small(ids, most=most), F.col("doc_id") == F.col("id"), "left_semi")
     rows = _sets(wanted, size, "id long, items array<long>", lambda ids, sets: ([ids, S.lists(sets)], ["id", "items"]))
     return store(rows, "sets")
 
 
-def _check(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    return store(S.verified(pairs, _members(docs, ids, size), percent), "links")
+def _check(docs: DataFrame, pairs: DataFrame, most: int, size: int, percent: int) -> DataFrame:
+    return store(S.verified(pairs, _members(docs, _ends(pairs), most, size), percent), "links")
 
 
-def _near(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
+def _near(pairs: DataFrame, most: int, sig: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that the counters of their long texts do not rule out."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     long = sig.where("counters is not null").select(F.col("doc_id").alias("id"), "n", "counters")
-    return store(S.counted(pairs, store(long.join(small(ids), "id", "left_semi"), "counters"), percent), "near")
+    return store(S.counted(pairs, store(long.join(small(_ends(pairs), most=most), "id", "left_semi"), "counters"), percent), "near")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _likely(pairs: DataFrame, most: int, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that sketches do not rule out."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    ends = store(classes.select("id", "n", "sketch").join(small(ids), "id", "left_semi"), "ends")
+    ends = store(classes.select("id", "n", "sketch").join(small(_ends(pairs), most=most), "id", "left_semi"), "ends")
     x = ends.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x"))
     y = ends.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
     both = pairs.join(x, "a").join(y, "b")
@@ -113,7 +114,8 @@ def linked_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     first = spread.select("a", F.coalesce("c", "b").alias("b"))
     within = of_group.where("id != group").select(F.col("group").alias("a"), F.col("id").alias("b"))
     checked = store(first.union(within).distinct(), "pairs")
-    links = _check(docs, _near(_likely(checked, classes, percent), sig, percent), size, percent)
+    most = 2 * counted_rows(checked)  # documents in these pairs, at most
+    links = _check(docs, _near(_likely(checked, most, classes, percent), most, sig, percent), most, size, percent)
     parts = components(links)
 
     # every other pair of members of one list that is still in two components
@@ -134,10 +136,9 @@ def linked_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     open_pairs = open_pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     either = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     open_pairs = store(open_pairs.join(either, ["a", "b"], "left_anti"), "open")
-    more = _check(docs, _near(open_pairs, sig, percent), size, percent)
-    if more.isEmpty():
-        last = parts
-    else:
+    most = 2 * counted_rows(open_pairs)
+    last = parts
+    if most and not (more := _check(docs, _near(open_pairs, most, sig, percent), most, size, percent)).isEmpty():
         last = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
     named = classes.join(last, F.col("id") == F.col("node"), "left")
